@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op5_language
 from .minhash import op8_near_duplicates
 from .repeats import op7_remove_repeats
 from .sharding import op6_shuffle_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_language": op5_language,
     "op7_remove_repeats": op7_remove_repeats,
     "op8_near_duplicates": op8_near_duplicates,
     "op6_shuffle_shards": op6_shuffle_shards,
