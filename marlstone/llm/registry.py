@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op5_language
 from .minhash import op8_near_duplicates
+from .packing import op4_pack
 from .repeats import op7_remove_repeats
 from .sharding import op6_shuffle_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_pack": op4_pack,
     "op5_language": op5_language,
     "op7_remove_repeats": op7_remove_repeats,
     "op8_near_duplicates": op8_near_duplicates,
