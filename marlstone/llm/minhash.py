@@ -135,7 +135,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(kept, pa.int64())).select([0, 1])
 
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,34 +176,36 @@ def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _missed_links(buckets: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+def _missed_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members of a bucket that the hubs left in different components.
 
-    For a text x let s(x) be how many of its n(x) shingles occur in other
-    components.  A link x, y needs 7 min(s(x), s(y)) >= 3 (n(x) + n(y)), as
-    4 I >= 3 (n(x) + n(y) - I) and I <= min(s(x), s(y)); with n(y) >= I that is
-    4 s(x) >= 3 n(x).  Texts that fail it can't link and leave; what stays is
-    compared block by block inside each connected group of buckets.
+    Hubs have been compared with all their members, so buckets whose other
+    members are in one component are done.  For a text x let s(x) be how many of
+    its n(x) shingles occur in other components.  A link x, y needs
+    7 min(s(x), s(y)) >= 3 (n(x) + n(y)), as 4 I >= 3 (n(x) + n(y) - I) and
+    I <= min(s(x), s(y)); with n(y) >= I that is 4 s(x) >= 3 n(x).  Texts that fail
+    it can't link and leave; what stays is compared block by block inside each
+    connected group of buckets.
     """
-    named = buckets.join(labels, buckets.doc_id == labels.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    members = buckets.filter("doc_id <> hub").select("key", "doc_id")
+    named = members.join(labels, members.doc_id == labels.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     open_ = cut(named.join(mixed, "key", "left_semi"), "open")
     people = open_.select("doc_id", "component").distinct()
-    sets = cut(docs.join(people.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, members binary").join(people, "doc_id"), "sets")
-    shingles = sets.select("doc_id", "component", F.explode(_as_longs("members")).alias("s"))
+    own = cut(sets.join(people, "doc_id"), "own")
+    shingles = own.select("doc_id", "component", F.explode(_as_longs("members")).alias("s"))
     common = shingles.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("s")
     able = shingles.join(common, "s", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shareable"))
-    able = sets.select("doc_id", "component", "members", (F.octet_length("members") / 8).cast("long").alias("n")).join(able, "doc_id").filter(f"100 * shareable >= {PERCENT} * n")
-    able = cut(able, "able")
+    n = (F.octet_length("members") / 8).cast("long")
+    able = cut(own.withColumn("n", n).join(able, "doc_id").filter(f"100 * shareable >= {PERCENT} * n").drop("shareable"), "able")
     left = open_.select("key", "doc_id").join(able.select("doc_id", "component", "n"), "doc_id")
-    mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("hub")).filter("lo <> hi").select("key", "hub")
-    chained = left.select("key", "doc_id").join(mixed, "key")
-    groups = connected_components(chained.select("doc_id", "hub").distinct())
-    members = able.join(groups, able.doc_id == groups.node).select("doc_id", able.component, "members", "n", groups.component.alias("grp"))
-    members = cut(members, "members")
+    mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("first")).filter("lo <> hi").select("key", "first")
+    chained = left.select("key", "doc_id").join(mixed, "key").select("doc_id", "first").distinct()
+    groups = connected_components(chained)
+    grouped = cut(able.join(groups, able.doc_id == groups.node).select("doc_id", able.component, "members", "n", groups.component.alias("grp")), "grouped")
     by_size = Window.partitionBy("grp").orderBy("n", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    block = members.select("doc_id", "grp", F.floor(F.sum("n").over(by_size) * 8 / BLOCK_BYTES).alias("block"))
-    packed = cut(members.join(block, ["doc_id", "grp"]).groupBy("grp", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.collect_list(F.struct("doc_id", "component", "members")).alias("texts")), "blocks")
+    block = grouped.select("doc_id", "grp", F.floor(F.sum("n").over(by_size) * 8 / BLOCK_BYTES).alias("block"))
+    packed = cut(grouped.join(block, ["doc_id", "grp"]).groupBy("grp", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.collect_list(F.struct("doc_id", "component", "members")).alias("texts")), "blocks")
     other = packed.select("grp", *[F.col(c).alias(f"{c}_2") for c in ("block", "least", "most", "texts")])
     pairs = packed.join(other, "grp").filter(f"block <= block_2 and 100 * most >= {PERCENT} * least_2").select("texts", "texts_2")
     return pairs.mapInArrow(_cross_links, "a long, b long")
@@ -227,22 +229,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ignored whatever their names.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, rows=500, megabytes=8)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = cut(docs.mapInArrow(_sketched, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "sketched")
     same = ["n_shingles", "set_a", "set_b"]
     full = sketched.filter("n_shingles > 0")
     classes = cut(full.groupBy(*same).agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("r")).select(*same, F.col("r.doc_id").alias("rep"), "r.bands"), "classes")
-    buckets = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("doc_id"))
-    crowded = buckets.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", "hub")
-    buckets = cut(buckets.join(crowded, "key"), "buckets")
+    named = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("doc_id"))
+    crowded = named.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", "hub")
+    buckets = cut(named.join(crowded, "key"), "buckets")
     pairs = cut(buckets.filter("doc_id <> hub").select("hub", "doc_id").distinct(), "pairs")
     people = pairs.select("hub").union(pairs.select("doc_id")).distinct().toDF("doc_id")
-    sets = cut(docs.join(people, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, members binary"), "sets")
+    # The same plan at every size: the ids grow with the corpus, so they aren't broadcast where they happen to be few.
+    sets = cut(docs.join(people.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, members binary"), "sets")
     both = pairs.join(sets, "doc_id").select("hub", "doc_id", F.col("members").alias("members_x")).join(sets.select(F.col("doc_id").alias("hub"), "members"), "hub").select("hub", "doc_id", "members", "members_x")
     links = cut(both.mapInArrow(_verified, "hub long, doc_id long"), "links")
     labels = cut(connected_components(links), "labels")
-    more = _missed_links(buckets.select("key", "doc_id"), labels, docs)
+    more = _missed_links(buckets, labels, sets)
     merged = links.toDF("a", "b").unionByName(more)
     labels = cut(connected_components(merged), "labels")
     reps = classes.select(*same, "rep").join(labels, classes.rep == labels.node, "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
