@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op5_language
+from .maxscore import OP1_SQL, op1_top_k
 from .minhash import op8_near_duplicates
 from .packing import op4_pack
 from .repeats import op7_remove_repeats
 from .sharding import op6_shuffle_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k": op1_top_k,
     "op4_pack": op4_pack,
     "op5_language": op5_language,
     "op7_remove_repeats": op7_remove_repeats,
@@ -20,4 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_shuffle_shards": op6_shuffle_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_top_k": OP1_SQL,
+}
