@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .hnsw import OP10_SQL, op10_near_vectors
 from .langid import op5_language
 from .maxscore import OP1_SQL, op1_top_k
 from .minhash import op8_near_duplicates
@@ -19,9 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op7_remove_repeats": op7_remove_repeats,
     "op8_near_duplicates": op8_near_duplicates,
+    "op10_near_vectors": op10_near_vectors,
     "op6_shuffle_shards": op6_shuffle_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_top_k": OP1_SQL,
+    "op10_near_vectors": OP10_SQL,
 }
