@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP3_SQL, op3_format_chat
 from .hnsw import OP10_SQL, op10_near_vectors
 from .langid import op5_language
 from .maxscore import OP1_SQL, op1_top_k
@@ -16,6 +17,7 @@ from .sharding import op6_shuffle_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
+    "op3_format_chat": op3_format_chat,
     "op4_pack": op4_pack,
     "op5_language": op5_language,
     "op7_remove_repeats": op7_remove_repeats,
@@ -26,5 +28,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_top_k": OP1_SQL,
+    "op3_format_chat": OP3_SQL,
     "op10_near_vectors": OP10_SQL,
 }
