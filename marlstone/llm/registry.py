@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP3_SQL, op3_format_chat
 from .hnsw import OP10_SQL, op10_near_vectors
 from .langid import op5_language
+from .lattice import op2_lattice_scores
 from .maxscore import OP1_SQL, op1_top_k
 from .minhash import op8_near_duplicates
 from .packing import op4_pack
@@ -17,6 +18,7 @@ from .sharding import op6_shuffle_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
+    "op2_lattice_scores": op2_lattice_scores,
     "op3_format_chat": op3_format_chat,
     "op4_pack": op4_pack,
     "op5_language": op5_language,
