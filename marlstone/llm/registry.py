@@ -15,6 +15,7 @@ from .minhash import op8_near_duplicates
 from .packing import op4_pack
 from .repeats import op7_remove_repeats
 from .sharding import op6_shuffle_shards
+from .subword import op9_encode_dropout
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
@@ -22,10 +23,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_format_chat": op3_format_chat,
     "op4_pack": op4_pack,
     "op5_language": op5_language,
+    "op6_shuffle_shards": op6_shuffle_shards,
     "op7_remove_repeats": op7_remove_repeats,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_encode_dropout": op9_encode_dropout,
     "op10_near_vectors": op10_near_vectors,
-    "op6_shuffle_shards": op6_shuffle_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
