@@ -27,7 +27,7 @@ from ..plans.lineage import bound_batches, cut
 
 CAPACITY, GROUPS, SMALL, PER_TASK = 2048, 256, 2048 // 3, 25_000
 END_ID = 0
-_MOST_WORDS = 300_000
+_MOST_WORDS = 1_200_000  # about 250 MB
 
 
 class WordEncoder:
@@ -55,7 +55,7 @@ class WordEncoder:
                 new = list(set(words))
             for lo in range(0, len(new), 2000):
                 part = new[lo : lo + 2000]
-                for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+                for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
                     known[w] = np.array(e.ids, "<u4").tobytes()
         return b"".join(map(known.__getitem__, words))
 
