@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 
 #: Multipliers of the splitmix64 finaliser.
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)

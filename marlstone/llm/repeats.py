@@ -225,7 +225,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated rows are separate texts and so remove each other; strings are
     judged on the input; an empty table gives an empty result.
     """
-    bound_batches(docs.sparkSession, rows=1000)
+    bound_batches(docs.sparkSession, rows=500, megabytes=8)
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * keep_text]
     carried = [c for c in docs.columns if c not in added]
     inner = docs.select([docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(carried)])
