@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import bound_batches, cut
+from ..plans.lineage import bound_batches, cut, release
 
 #: The control strings of the template.
 BEGIN, END = "<|im_start|>", "<|im_end|>"
@@ -82,10 +82,13 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     leaves = jumps[-1].join(parents, ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("gain"), "node"))
     path = leaves.withColumn("branch", rank).filter(F.col("branch") <= branches).select("tree", "branch", "node", F.col("steps").alias("depth"))
-    # A node's pointer of round k spans 2**k steps: from far to near, what is found doubles.
+    # A node's pointer of round k spans 2**k steps: from far to near, what is found
+    # doubles. Each round is written, so that the plan doesn't double as well.
     for k in reversed(range(len(jumps) - 1)):
         up = jumps[k].filter("up is not null").select("tree", "node", "up")
-        path = path.unionByName(path.join(up, ["tree", "node"]).select("tree", "branch", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth")))
+        above = path.join(up, ["tree", "node"]).select("tree", "branch", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
+        path = cut(path.unionByName(above), "path")
+        release(jumps[k])
     return path
 
 
