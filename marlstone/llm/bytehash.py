@@ -102,6 +102,45 @@ def slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int,
         row = stop
 
 
+class Index:
+    """Positions of distinct 64-bit keys.
+
+    Keys that find their slot taken go to a further table, so a key is in none of
+    the later ones once its slot is free.
+    """
+
+    def __init__(self, keys: np.ndarray):
+        self.levels, keys, at = [], keys.astype(U64), np.arange(len(keys))
+        while len(keys):
+            bits = max(4, int(4 * len(keys)).bit_length())
+            shift, factor = U64(64 - bits), MIX_A if len(self.levels) % 2 else MIX_B
+            factor = U64((int(factor) + 2 * len(self.levels)) % (1 << 64))
+            slot = (keys * factor) >> shift
+            held, value = np.zeros(1 << bits, U64), np.full(1 << bits, -1, np.int64)
+            held[slot], value[slot] = keys, at
+            self.levels.append((factor, shift, held, value))
+            lost = held[slot] != keys
+            keys, at = keys[lost], at[lost]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Position of each key, -1 for none."""
+        out, waiting = np.full(len(keys), -1, np.int64), None
+        for factor, shift, held, value in self.levels:
+            mine = keys if waiting is None else keys[waiting]
+            slot = (mine * factor) >> shift
+            got = value[slot]
+            hit = held[slot] == mine
+            if waiting is None:
+                out = np.where(hit, got, -1)
+                waiting = np.flatnonzero(~hit & (got >= 0))
+            else:
+                out[waiting[hit]] = got[hit]
+                waiting = waiting[~hit & (got >= 0)]
+            if not len(waiting):
+                break
+        return out
+
+
 #: The bytes that part words.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import bound_batches, cut, release
-from .bytehash import U64, Prefix, slices, word_bounds
+from .bytehash import U64, Index, Prefix, slices, word_bounds
 from .langid import is_held_out
 
 HEAD, ROUNDS = 500_000, 2
@@ -60,24 +60,16 @@ def vocabulary(path: str) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndar
 
 
 class Pieces:
-    """Lookup of byte strings by length and hash, to their numbers; -1 for none."""
+    """Lookup of byte strings by their names, to their numbers; -1 for none."""
 
     def __init__(self, strings: list[bytes]):
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        lengths = np.array([len(s) for s in strings])
-        for n in np.unique(lengths):
-            at = np.flatnonzero(lengths == n)
-            names = Prefix(np.frombuffer(b"".join(strings[i] for i in at), np.uint8), 23).of(np.arange(len(at)) * n, np.arange(1, len(at) + 1) * n) if n else np.zeros(1, U64)
-            order = np.argsort(names)
-            self.by_length[int(n)] = names[order], at[order]
-        self.longest = int(lengths.max())
-
-    def find(self, names: np.ndarray, length: int) -> np.ndarray:
-        if length not in self.by_length:
-            return np.full(names.shape, -1)
-        known, number = self.by_length[length]
-        at = np.minimum(np.searchsorted(known, names), len(known) - 1)
-        return np.where(known[at] == names, number[at], -1)
+        ends = np.cumsum([len(s) for s in strings])
+        prefix = Prefix(np.frombuffer(b"".join(strings), np.uint8), 23)
+        self.index = Index(prefix.of(ends - [len(s) for s in strings], ends))
+        self.longest = max(map(len, strings))
+
+    def find(self, names: np.ndarray) -> np.ndarray:
+        return self.index.find(names)
 
 
 @functools.cache
@@ -101,14 +93,14 @@ def _arcs(words: list[bytes], at: np.ndarray, n: int, path: str) -> tuple[np.nda
     prefix = Prefix(np.frombuffer(b"".join(words[i] for i in at), np.uint8), 23)
     base = np.arange(len(at))[:, None] * n
     first = np.full((len(at), n + 1), -1)
-    first[:, 0] = begin.find(np.zeros(len(at), U64), 0)
+    first[:, 0] = begin.find(prefix.of(base[:, 0], base[:, 0]))
     for e in range(1, min(n, begin.longest) + 1):
-        first[:, e] = begin.find(prefix.of(base[:, 0], base[:, 0] + e), e)
+        first[:, e] = begin.find(prefix.of(base[:, 0], base[:, 0] + e))
     longest = min(n, inner.longest)
     rest = np.full((len(at), n + 1, longest + 1), -1)
     for k in range(1, longest + 1):
         starts = base + np.arange(n - k + 1)[None, :]
-        rest[:, k:, k] = inner.find(prefix.of(starts.ravel(), starts.ravel() + k), k).reshape(starts.shape)
+        rest[:, k:, k] = inner.find(prefix.of(starts.ravel(), starts.ravel() + k)).reshape(starts.shape)
     return first, rest
 
 
@@ -242,6 +234,7 @@ class Model:
 def _scored(model: Model, head, seed: int = 31):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, base, score, known = head.value
+        index = Index(names)
         for batch in batches:
             uids = batch.column(0).to_numpy()
             n = batch.num_rows
@@ -251,8 +244,8 @@ def _scored(model: Model, head, seed: int = 31):
                 start, end = word_bounds(data, off)
                 own = lo + np.searchsorted(off, start, "right") - 1
                 mine = Prefix(data, seed, lower=True).of(start, end)
-                at = np.minimum(np.searchsorted(names, mine), max(len(names) - 1, 0))
-                hit = names[at] == mine if len(names) else np.zeros(len(mine), bool)
+                at = index.find(mine)
+                hit = at >= 0
                 sums[0] += np.bincount(own, minlength=n)
                 for k, column in ((1, known), (2, base), (3, score)):
                     sums[k] += np.bincount(own[hit], column[at[hit]], n)
@@ -281,6 +274,11 @@ def _priced(model: Model):
     return run
 
 
+def counts_of(words: DataFrame) -> DataFrame:
+    """How many words occur how often, from 100,000 times on taken together."""
+    return words.groupBy(F.least("n_all", F.lit(100_000)).alias("times")).agg(F.count(F.lit(1)).alias("kinds"))
+
+
 def lattice_scores(docs: DataFrame, vocabulary_path: str, training: str, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -311,12 +309,19 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, training: str, id_col:
         begin, inner = np.split(np.log(uses / uses.sum()), [split])
     priced = cut(counts.mapInArrow(_marginal(vocabulary_path, begin, inner), "word binary, n long, n_all long, lattice double").mapInArrow(_priced(model), "word binary, n long, n_all long, base double, score double"), "priced")
     release(counts)
-    top = priced.orderBy(F.desc("n_all"), "word").limit(head_words).toArrow()
+    # How often a word must occur to be among the head; the histogram has at most 100,000 rows.
+    often = sorted((r[0], r[1]) for r in counts_of(priced).collect())
+    least, room = 0, head_words
+    for times, kinds in reversed(often):
+        room -= kinds
+        if room < 0:
+            break
+        least = times
+    top = priced.filter(F.col("n_all") >= least).toArrow() if least else priced.limit(0).toArrow()
     words = top["word"].combine_chunks() if top.num_rows else pa.array([], pa.binary())
     off = np.concatenate([[0], np.cumsum([len(w.as_buffer()) for w in words])]).astype(np.int64)
     names = Prefix(np.frombuffer(b"".join(words.to_pylist()), np.uint8), 31, lower=True).of(off[:-1], off[1:])
-    order = np.argsort(names)
-    head = spark.sparkContext.broadcast((names[order], top["base"].to_numpy()[order], top["score"].to_numpy()[order], (top["n"].to_numpy() > 0).astype(float)[order]))
+    head = spark.sparkContext.broadcast((names, top["base"].to_numpy(), top["score"].to_numpy(), (top["n"].to_numpy() > 0).astype(float)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("uid"))
     scored = cut(rows.select("uid", "text").mapInArrow(_scored(model, head), "uid long, word binary, n long, known double, base double, score double"), "scored")
     rare = scored.filter("word is not null").select("uid", "word", F.col("n").alias("times")).join(priced, "word")
