@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import bound_batches
-from .bytehash import MIX_A, MIX_B, U64, Prefix, mix, slices
+from .bytehash import MIX_A, MIX_B, U64, Index, Prefix, mix, slices
 
 DROPOUT, SEED, VARIANTS = 0.1, 20, 4
 MARK = "▁"
-_SPACE, _BATCH = 0x20, 1 << 22
+_SPACE, _BATCH = 0x20, 1 << 19
 _NONE = np.int64(1 << 40)
 
 
@@ -55,6 +55,7 @@ class Merges:
         rank_of = {i: r for r, i in enumerate(order)}
         pairs = sorted((self.symbols[t[:k]] << 20 | self.symbols[t[k:]], rank_of[i], i) for i, t in text.items() for k in range(1, len(t)) if t[:k] in self.symbols and t[k:] in self.symbols)
         self.pairs, self.ranks, self.joint = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        self.index = Index(self.pairs.view(U64))
         self.byte_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
         chars = np.full(0x110000, -1, np.int64)
         for t, s in self.symbols.items():
@@ -72,9 +73,34 @@ class Merges:
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (``_NONE`` for no pair) and joint piece of neighbours."""
         key = np.where((left >= 0) & (right >= 0), left << 20 | np.maximum(right, 0), -1)
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        hit = self.pairs[at] == key
-        return np.where(hit, self.ranks[at], _NONE), self.joint[at]
+        at = self.index.find(key.view(U64))
+        return np.where(at >= 0, self.ranks[at], _NONE), self.joint[at]
+
+
+class Memo:
+    """Pieces of parts that were met before, up to a bound on their number."""
+
+    MOST = 1_000_000
+
+    def __init__(self):
+        self.keys, self.at, self.n, self.flat = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
+        """``keys`` ascending and new, with their numbers of pieces and the pieces one after the other."""
+        if len(self.keys) + len(keys) > self.MOST:
+            self.__init__()
+        where, starts = np.searchsorted(self.keys, keys), len(self.flat) + np.cumsum(counts) - counts
+        self.keys, self.at, self.n = (np.insert(old, where, new) for old, new in ((self.keys, keys), (self.at, starts), (self.n, counts)))
+        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+
+
+_MEMOS: dict[tuple, Memo] = {}
 
 
 @functools.cache
@@ -159,32 +185,49 @@ def encode_slice(rule: Merges, data: np.ndarray, off: np.ndarray, row_keys: np.n
     names = Prefix(points.astype("<u4").view(np.uint8), 41).of(start * 4, (start + length) * 4)
     variant = mix(row_keys[owner] + place.astype(U64) * MIX_A) % U64(variants) if dropout else np.zeros(len(start), U64)
     whole, first, inverse = np.unique(mix(names + variant * MIX_B), return_index=True, return_inverse=True)
-    # Distinct parts by width, so that rows are as wide as they need to be.
-    counts, pieces = np.zeros(len(whole), np.int64), []
-    order = np.argsort(length[first], kind="stable")
-    done_at, done = np.zeros(len(whole), np.int64), 0
-    lo = 0
+    counts = np.zeros(len(whole), np.int64)
+    memo = _MEMOS.setdefault((id(rule), dropout, variants, seed), Memo())
+    known = memo.find(whole)
+    fresh = np.flatnonzero(known < 0)
+    new_counts, new_flat = _worked_out(rule, points, start[first[fresh]], length[first[fresh]], mix(names[first[fresh]] + variant[first[fresh]] * MIX_B + _keyed(seed)), dropout)
+    # Old pieces first, then new ones: one array that every part points into.
+    old = np.flatnonzero(known >= 0)
+    pool, begin_at = memo.flat, np.zeros(len(whole), np.int64)
+    counts[old], begin_at[old] = memo.n[known[old]], memo.at[known[old]]
+    counts[fresh], begin_at[fresh] = new_counts, len(pool) + np.cumsum(new_counts) - new_counts
+    n, at = counts[inverse], begin_at[inverse]
+    spots = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    ids = np.empty(len(spots), np.int64)
+    late = spots >= len(pool)
+    ids[~late], ids[late] = pool[spots[~late]], new_flat[spots[late] - len(pool)]
+    memo.add(whole[fresh], new_counts, new_flat)
+    return ids, np.bincount(owner, n, rows).astype(np.int64)
+
+
+def _worked_out(rule: Merges, points: np.ndarray, start: np.ndarray, length: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many pieces each part has, and the pieces one after the other; parts of like width run together."""
+    counts, order, lo = np.zeros(len(start), np.int64), np.argsort(length, kind="stable"), 0
+    sizes, parts, flats = length[order], [], []
     while lo < len(order):
-        width = int(length[first[order[lo]]])
+        width = int(sizes[lo])
         most = width if width < 16 else width + max(4, width // 4)
-        hi = int(np.searchsorted(length[first[order]], most, "right"))
-        hi = min(hi, lo + max(1, _BATCH // most // 4))
+        hi = min(int(np.searchsorted(sizes, most, "right")), lo + max(1, (1 << 20) // most))
         part = order[lo:hi]
-        width = int(length[first[part]].max())
-        cell = start[first[part]][:, None] + np.arange(width)[None, :]
-        inside = np.arange(width)[None, :] < length[first[part]][:, None]
-        cps = np.where(inside, points[np.minimum(cell, len(points) - 1)], 0)
-        symbols = np.where(inside, rule.chars[cps], -2)
-        keys = mix(names[first[part]] + variant[first[part]] * MIX_B + _keyed(seed))
-        merged = run_agendas(rule, symbols, keys, dropout)
-        flat, per = _with_bytes(rule, merged, cps)
-        counts[part], done_at[part] = per, done + np.cumsum(per) - per
-        pieces.append(flat)
-        done, lo = done + len(flat), hi
-    flat = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
-    n = counts[inverse]
-    ids = flat[np.repeat(done_at[inverse] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-    return ids, np.bincount(owner, n, rows).astype(np.int64)
+        width = int(sizes[hi - 1])
+        inside = np.arange(width)[None, :] < length[part][:, None]
+        cps = np.where(inside, points[np.minimum(start[part][:, None] + np.arange(width)[None, :], len(points) - 1)], 0)
+        merged = run_agendas(rule, np.where(inside, rule.chars[cps], -2), keys[part], dropout)
+        flat, counts[part] = _with_bytes(rule, merged, cps)
+        parts.append(part)
+        flats.append(flat)
+        lo = hi
+    if not parts:
+        return counts, np.zeros(0, np.int64)
+    flat, sequence = np.concatenate(flats), np.concatenate(parts)
+    n = counts[sequence]
+    begins = np.empty(len(start), np.int64)
+    begins[sequence] = np.cumsum(n) - n
+    return counts, flat[np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
 
 
 def _with_bytes(rule: Merges, merged: np.ndarray, cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
