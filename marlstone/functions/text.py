@@ -87,15 +87,19 @@ def proper_nouns(text: Column) -> Column:
     return F.filter(found, lambda v: (v != "") & ~lone(v) & ~short(v) & (F.octet_length(v) <= MAX_ENTITY))
 
 
-def entities(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, kind, value, count): heuristic entities of every row, lower-case, counted."""
-    t = F.col(text_col)
+def entity_array(t: Column) -> Column:
+    """Every heuristic entity of a text as (kind, value), lower-case, repeats included."""
     of = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), F.lower(F.trim(v)).alias("value")))
     every = F.concat(
         of("date", F.regexp_extract_all(t, F.lit(ISO_DATE), F.lit(1))), of("date", F.regexp_extract_all(t, F.lit(WRITTEN_DATE), F.lit(1))),
         of("path", F.regexp_extract_all(t, F.lit(PATH), F.lit(1))), of("number", F.regexp_extract_all(t, F.lit(NUMBER), F.lit(1))), of("proper", proper_nouns(t)),
     )
-    found = rows.select(id_col, F.explode(every).alias("e")).select(id_col, "e.kind", "e.value").filter(F.octet_length("value").between(1, MAX_ENTITY))
+    return F.filter(every, lambda e: F.octet_length(e["value"]).between(1, MAX_ENTITY))
+
+
+def entities(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, kind, value, count): heuristic entities of every row, counted."""
+    found = rows.select(id_col, F.explode(entity_array(F.col(text_col))).alias("e")).select(id_col, "e.kind", "e.value")
     return found.groupBy(id_col, "kind", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
