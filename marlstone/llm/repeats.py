@@ -163,14 +163,15 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     for each group of agreeing rows in such a bucket, for they can still hold the
     partners of the former.
     """
-    company = rows.groupBy("core").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("core")
+    # A table of its own, so that the join can split a bucket that many rows share.
+    company = cut(rows.groupBy("core").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("core"), "company")
     rows = cut(rows.join(company, "core", "left_semi"), "bucketed")
     place = F.struct("id", "hash", "first", "last", "at")
     classes = cut(rows.groupBy("core", "fa", "fb").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one")), "classes")
     done = cut(rows.join(classes.filter("n > 1").select("core", "fa", "fb"), ["core", "fa", "fb"], "left_semi").select("id", "hash", "first", "last"), "settled")
     alone = classes.filter("n = 1").select("core").distinct()
     refine = cut(classes.join(alone, "core", "left_semi").select("one.*"), "refine")
-    release(rows, classes)
+    release(rows, classes, company)
     return done, refine
 
 
