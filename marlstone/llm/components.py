@@ -29,15 +29,18 @@ def connected_components(links: DataFrame) -> DataFrame:
     stars = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Minima are tables of their own, so that the joins can split a centre's rows.
+        least = cut(_least(both), "least")
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large.filter("u <> v"), "stars")
-        least = _least(large)
+        release(least)
+        least = cut(_least(large), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         small = cut(small, "stars")
         # Stable when every node has one link and no centre has a link of its own.
         centres = small.select(F.col("v").alias("u")).distinct().join(small, "u", "left_semi").limit(1)
         settled = small.groupBy("u").count().filter("count > 1").limit(1).count() == 0 and centres.count() == 0
-        release(stars, large)
+        release(stars, large, least)
         stars = small
         if settled:
             break
