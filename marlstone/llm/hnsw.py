@@ -313,7 +313,7 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col
     dealt = classes.select(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.col("rep").alias("id"), "copies", "vector")
     index = cut(dealt.groupBy("shard").applyInArrow(_built(threshold), _INDEX), "index")
     blocks = cut(classes.select("rep", "vector").mapInArrow(_blocks, "ids binary, vectors binary, n int, d int").withColumn("salt", F.monotonically_increasing_id()), "queries")
-    salts = max(1, min(16, blocks.count()))
+    salts = max(1, min(8, blocks.count()))
     left = blocks.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "n", "d")], F.pmod(F.xxhash64("salt"), F.lit(salts)).alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     right = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     met = left.join(right, ["shard", "salt"]).drop("shard", "salt")
