@@ -75,9 +75,11 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     jumps = [cut(start.select("tree", "node", F.col("parent").alias("up"), "gain", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("steps")), "jumps")]
     while jumps[-1].filter("up is not null").limit(1).count():
         last = jumps[-1]
+        # Pointers that have reached their root are carried along, not joined again.
+        live, there = last.filter("up is not null"), last.filter("up is null")
         above = last.select("tree", F.col("node").alias("up"), F.col("up").alias("up_2"), F.col("gain").alias("gain_2"), F.col("steps").alias("steps_2"))
-        joined = last.join(above, ["tree", "up"], "left")
-        jumps.append(cut(joined.select("tree", "node", F.col("up_2").alias("up"), (F.col("gain") + F.coalesce("gain_2", F.lit(0.0))).alias("gain"), (F.col("steps") + F.coalesce("steps_2", F.lit(0))).alias("steps")), "jumps"))
+        joined = live.join(above, ["tree", "up"]).select("tree", "node", F.col("up_2").alias("up"), (F.col("gain") + F.col("gain_2")).alias("gain"), (F.col("steps") + F.col("steps_2")).alias("steps"))
+        jumps.append(cut(joined.unionByName(there), "jumps"))
     parents = jumps[0].filter("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = jumps[-1].join(parents, ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("gain"), "node"))
