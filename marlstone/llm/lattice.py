@@ -184,10 +184,22 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table()
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Batches joined into larger ones: words are worked on together by their length."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= most:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _expected(path: str, begin: np.ndarray, inner: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(begin) + len(inner))
-        for batch in batches:
+        for batch in _gathered(batches):
             words = batch.column(0).to_pylist()
             sums += np.concatenate(expected_counts(words, np.ones(len(words)), path, begin, inner))
         at = np.flatnonzero(sums)
@@ -198,7 +210,7 @@ def _expected(path: str, begin: np.ndarray, inner: np.ndarray):
 
 def _marginal(path: str, begin: np.ndarray, inner: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             logs = log_marginals(batch.column(0).to_pylist(), path, begin, inner)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs)], names=[*batch.schema.names, "lattice"])
 
