@@ -12,6 +12,7 @@ from ..operators import conversation as C
 from ..operators import dedup as D
 from ..operators import entities as E
 from ..operators import graph as G
+from ..operators import ingest as N
 from ..operators import maintain as M
 from ..operators import retrieval as R
 from ..operators import search as S
@@ -602,3 +603,50 @@ def _(spark, d):
 def _(spark, d):
     top = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("session_id")).agg(F.max("turn").alias("t")).orderBy(F.desc("t"), "session_id").limit(50)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("t"), "session_id"))).select("session_id", "rank")
+
+
+# ---- parsing: rows only ----
+
+_NOTE = """---
+title: Plans
+tags: [work, idea]
+aliases:
+  - Road map
+---
+# Plans
+
+We will ship soon. Dr. Smith agreed! See [[Alpha#Part|the start]] and ![[Beta]].
+
+```
+# not a heading
+```
+
+## Costs #money
+
+| item | cost |
+|------|------|
+| tea  | 3    |
+
+- one #todo
+- two
+"""
+
+
+def _notes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(1, _NOTE), (2, ""), (3, None)], "doc_id long, text string")
+
+
+QUERIES |= {
+    "md_blocks": lambda spark, d: N.note_blocks(_notes(spark)),
+    "frontmatter": lambda spark, d: N.note_front_matter(_notes(spark)),
+    "note_links": lambda spark, d: N.note_links(_notes(spark)),
+    "note_tags": lambda spark, d: N.note_tags(_notes(spark)),
+    "sentences": lambda spark, d: N.sentence_rows(docs(spark, d)),
+    "heading_chunks": lambda spark, d: N.note_chunks(docs(spark, d)),
+    "leiden_chunks": lambda spark, d: N.note_chunks(docs(spark, d), "communities"),
+    "hash_embed": lambda spark, d: N.text_vectors(docs(spark, d)),
+    "visible_text": lambda spark, d: N.page_text(table(spark, d, "pages")),
+    "article_md": lambda spark, d: N.page_articles(table(spark, d, "pages")),
+    "script_partition": lambda spark, d: N.page_scripts(table(spark, d, "pages")),
+    "page_state": lambda spark, d: N.page_state(table(spark, d, "pages")),
+}
