@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms, token_count
+from ..plans.lineage import cut
 
 #: BM25 saturation and length weights, and how many of a query's rarest terms probe.
 K1, B, PROBES = 1.2, 0.75, 12
@@ -46,16 +47,19 @@ def rare_probe(query: DataFrame, frequencies: DataFrame, probes: int = PROBES) -
 def bm25(documents: DataFrame, query: DataFrame, k: int | None = 20) -> DataFrame:
     """doc_id and score of the documents that share a probe term, best first.
 
-    Only postings of the query's terms are kept, before anything is shuffled by
-    term; the probes are at most ``PROBES`` rows and so are broadcast.
+    One pass over the texts leaves each document's length and its occurrences of the
+    query's terms; frequencies, averages and scores come from that narrow table. The
+    query's terms are one row and the probes at most ``PROBES``, so both are broadcast.
     """
     text = F.coalesce("text", F.lit(""))
     asked = query.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).agg(F.collect_set("term").alias("asked"))
-    rows = documents.select("doc_id", terms(text).alias("terms"), F.greatest(token_count(text), F.lit(1)).alias("dl"))
-    hits = rows.join(F.broadcast(asked)).select("doc_id", "dl", F.explode(F.filter("terms", lambda t: F.array_contains(F.col("asked"), t))).alias("term"))
+    held = F.filter("terms", lambda t: F.array_contains(F.col("asked"), t))
+    rows = documents.select("doc_id", terms(text).alias("terms"), token_count(text).alias("tokens")).join(F.broadcast(asked)).select("doc_id", "tokens", held.alias("held"))
+    rows = cut(rows, "lengths")
+    stats = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.coalesce(F.avg("tokens"), F.lit(0.0)), F.lit(1.0)).alias("avg_tokens"))
+    hits = rows.select("doc_id", F.greatest("tokens", F.lit(1)).alias("dl"), F.explode("held").alias("term"))
     postings = hits.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     probes = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy("df", "term").limit(PROBES)
-    stats = corpus_stats(documents)
     scored = postings.join(F.broadcast(probes), "term").join(F.broadcast(stats))
     part = idf(F.col("n_docs"), F.col("df")) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_tokens")))
     out = scored.groupBy("doc_id").agg(F.sum(part).alias("score"))

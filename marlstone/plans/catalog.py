@@ -16,7 +16,7 @@ from ..operators import ingest as N
 from ..operators import maintain as M
 from ..operators import retrieval as R
 from ..operators import search as S
-from ..sources.tables import line_chunks, messages, sources, table
+from ..sources.tables import line_chunks, messages, sources, spread, table
 from ..streaming import incremental as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """``documents`` for queries whose cost is in their text functions."""
+    return spread(docs(spark, d))
+
+
 def asked(spark: SparkSession, d: str) -> DataFrame:
     """The query text of the search queries: the first benchmark item."""
     return table(spark, d, "benchmark").orderBy("item_id").limit(1).select("text")
@@ -109,12 +114,12 @@ def _(spark, d):
 
 @query("term_freq", f"WITH {_terms('documents', 'doc_id')} SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL")
 def _(spark, d):
-    return R.term_freq(docs(spark, d))
+    return R.term_freq(texts(spark, d))
 
 
 @query("term_df", f"WITH {_terms('documents', 'doc_id')} SELECT term, count(DISTINCT doc_id) AS df FROM terms GROUP BY ALL")
 def _(spark, d):
-    return R.term_df(R.term_freq(docs(spark, d)))
+    return R.term_df(R.term_freq(texts(spark, d)))
 
 
 @query("token_count", f"SELECT doc_id, {_tokens(_TEXT)} AS token_count FROM documents")
@@ -127,7 +132,7 @@ _STATS = f"n AS (SELECT doc_id, {_tokens(_TEXT)} AS n FROM documents), stats AS
 
 @query("corpus_stats", f"WITH {_STATS} SELECT n_docs, n_tokens, round(avg_tokens, 6) AS avg_tokens FROM stats")
 def _(spark, d):
-    return R.corpus_stats(docs(spark, d)).withColumn("avg_tokens", F.round("avg_tokens", 6))
+    return R.corpus_stats(texts(spark, d)).withColumn("avg_tokens", F.round("avg_tokens", 6))
 
 
 _ASKED = "q AS (SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 1)"
@@ -142,12 +147,12 @@ scores AS (SELECT tf.doc_id, round(sum(greatest(0.0, ln(1 + (n_docs - df + 0.5)
 
 @query("rare_probe", f"WITH {_BM25} SELECT term, df FROM probes")
 def _(spark, d):
-    return R.rare_probe(asked(spark, d), R.term_df(R.term_freq(docs(spark, d))))
+    return R.rare_probe(asked(spark, d), R.term_df(R.term_freq(texts(spark, d))))
 
 
 @query("bm25_topk", f"WITH {_BM25} SELECT doc_id, score FROM scores ORDER BY score DESC, doc_id LIMIT 20")
 def _(spark, d):
-    return R.bm25(docs(spark, d), asked(spark, d)).withColumn("score", F.round("score", 6))
+    return R.bm25(texts(spark, d), asked(spark, d)).withColumn("score", F.round("score", 6))
 
 
 # ---- vectors ----
@@ -190,12 +195,12 @@ def _(spark, d):
 
 @query("dedup_rare_terms", f"WITH {_terms('documents', 'doc_id')}, tf AS (SELECT doc_id, term, count(*) AS tf FROM terms WHERE strlen(term) >= 4 GROUP BY ALL) SELECT doc_id, term, tf, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf, term) AS rank FROM tf) WHERE rank <= 6")
 def _(spark, d):
-    return D.rare_terms(docs(spark, d))
+    return D.rare_terms(texts(spark, d))
 
 
 @query("dice_pairs")
 def _(spark, d):
-    return D.near_pairs(docs(spark, d)).withColumn("dice", F.round("dice", 6))
+    return D.near_pairs(texts(spark, d)).withColumn("dice", F.round("dice", 6))
 
 
 # ---- entities ----
@@ -203,12 +208,12 @@ def _(spark, d):
 
 @query("entity_counts", f"WITH {_ENTITIES} SELECT doc_id, kind, value, count FROM ents")
 def _(spark, d):
-    return E.entity_counts(docs(spark, d))
+    return E.entity_counts(texts(spark, d))
 
 
 @query("entity_proper", f"WITH {_ENTITIES} SELECT value, count(*) AS df, CAST(sum(count) AS BIGINT) AS uses FROM ents WHERE kind = 'proper' GROUP BY value")
 def _(spark, d):
-    return E.entity_counts(docs(spark, d)).filter("kind = 'proper'").groupBy("value").agg(F.count(F.lit(1)).alias("df"), F.sum("count").alias("uses"))
+    return E.entity_counts(texts(spark, d)).filter("kind = 'proper'").groupBy("value").agg(F.count(F.lit(1)).alias("df"), F.sum("count").alias("uses"))
 
 
 _RARE = f"{_ENTITIES}, rare AS (SELECT kind, value, count(DISTINCT doc_id) AS df FROM ents GROUP BY kind, value HAVING count(DISTINCT doc_id) BETWEEN 2 AND 12)"
@@ -216,7 +221,7 @@ _RARE = f"{_ENTITIES}, rare AS (SELECT kind, value, count(DISTINCT doc_id) AS df
 
 @query("rare_entities", f"WITH {_RARE} SELECT kind, value, df FROM rare")
 def _(spark, d):
-    return E.rare_entities(E.entity_counts(docs(spark, d)))
+    return E.rare_entities(E.entity_counts(texts(spark, d)))
 
 
 @query("entity_edges", f"""WITH {_RARE}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
@@ -224,7 +229,7 @@ r AS (SELECT e.doc_id, d.source, kind, value, df FROM ents e JOIN rare USING (ki
 p AS (SELECT a.doc_id AS src, b.doc_id AS dst, round(max(least(1.0, ln(n / a.df) / ln(n))), 6) AS weight FROM r a JOIN r b ON a.kind = b.kind AND a.value = b.value AND a.source <> b.source CROSS JOIN n GROUP BY ALL)
 SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM p WHERE weight > 0) WHERE rank <= 12""")
 def _(spark, d):
-    rows = docs(spark, d)
+    rows = texts(spark, d)
     links = E.entity_counts(rows).join(rows.select("doc_id", "source"), "doc_id")
     return E.entity_edges(links, rows.agg(F.count(F.lit(1)).alias("n")), source_col="source")
 
@@ -245,7 +250,7 @@ jac AS (SELECT doc_id, round(shared / (n + (SELECT count(*) FROM named) - shared
 
 @query("entity_jaccard", f"WITH {_JACCARD} SELECT doc_id, jaccard FROM jac")
 def _(spark, d):
-    links = E.entity_counts(docs(spark, d))
+    links = E.entity_counts(texts(spark, d))
     return E.entity_jaccard(links, E.query_entities(asked(spark, d), E.dictionary(links))).withColumn("jaccard", F.round("jaccard", 6))
 
 
@@ -281,7 +286,7 @@ _FUSED = f"{_POOL}, scaled AS (SELECT doc_id, source, {_SCALED} FROM pool), fuse
 
 
 def _pool(spark: SparkSession, d: str) -> DataFrame:
-    return S.candidates(docs(spark, d), table(spark, d, "embeddings"), asked(spark, d), asked_vector(spark, d))
+    return S.candidates(texts(spark, d), table(spark, d, "embeddings"), asked(spark, d), asked_vector(spark, d))
 
 
 @query("minmax_fusion", f"WITH {_FUSED} SELECT doc_id, fused FROM fused")
@@ -304,13 +309,13 @@ def _(spark, d):
 
 @query("fused_search")
 def _(spark, d):
-    return S.search(docs(spark, d), table(spark, d, "embeddings"), asked(spark, d), asked_vector(spark, d))
+    return S.search(texts(spark, d), table(spark, d, "embeddings"), asked(spark, d), asked_vector(spark, d))
 
 
 @query("fused_search_walk")
 def _(spark, d):
     edges = R.mutual(R.similar_topk(table(spark, d, "embeddings"))).select("src", "dst", F.lit("similar").alias("kind"), F.col("similarity").alias("weight"))
-    return S.search(docs(spark, d), table(spark, d, "embeddings"), asked(spark, d), asked_vector(spark, d), edges)
+    return S.search(texts(spark, d), table(spark, d, "embeddings"), asked(spark, d), asked_vector(spark, d), edges)
 
 
 @query("walk_2hop", f"""WITH {_SIMILAR}, {_KNN},
@@ -410,7 +415,7 @@ def _(spark, d):
 @query("stats_row", f"WITH {_terms('documents', 'doc_id')} SELECT (SELECT count(*) FROM documents) AS sources, (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL) AS vectors, (SELECT count(DISTINCT term) FROM terms) AS terms, (SELECT count(DISTINCT conv_id) FROM conversations) AS sessions, (SELECT count(*) FROM pages) AS artifacts")
 def _(spark, d):
     one = lambda df, name, what=None: df.agg((F.count(F.lit(1)) if what is None else F.count_distinct(what)).alias(name))
-    parts = [one(docs(spark, d), "sources"), one(table(spark, d, "embeddings").filter("embedding is not null"), "vectors"), R.term_df(R.term_freq(docs(spark, d))).agg(F.count(F.lit(1)).alias("terms")), one(table(spark, d, "conversations"), "sessions", F.col("conv_id")), one(table(spark, d, "pages"), "artifacts")]
+    parts = [one(docs(spark, d), "sources"), one(table(spark, d, "embeddings").filter("embedding is not null"), "vectors"), R.term_df(R.term_freq(texts(spark, d))).agg(F.count(F.lit(1)).alias("terms")), one(table(spark, d, "conversations"), "sessions", F.col("conv_id")), one(table(spark, d, "pages"), "artifacts")]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(F.broadcast(p))  # one row each
@@ -641,10 +646,10 @@ QUERIES |= {
     "frontmatter": lambda spark, d: N.note_front_matter(_notes(spark)),
     "note_links": lambda spark, d: N.note_links(_notes(spark)),
     "note_tags": lambda spark, d: N.note_tags(_notes(spark)),
-    "sentences": lambda spark, d: N.sentence_rows(docs(spark, d)),
-    "heading_chunks": lambda spark, d: N.note_chunks(docs(spark, d)),
-    "leiden_chunks": lambda spark, d: N.note_chunks(docs(spark, d), "communities"),
-    "hash_embed": lambda spark, d: N.text_vectors(docs(spark, d)),
+    "sentences": lambda spark, d: N.sentence_rows(texts(spark, d)),
+    "heading_chunks": lambda spark, d: N.note_chunks(texts(spark, d)),
+    "leiden_chunks": lambda spark, d: N.note_chunks(texts(spark, d), "communities"),
+    "hash_embed": lambda spark, d: N.text_vectors(texts(spark, d)),
     "visible_text": lambda spark, d: N.page_text(table(spark, d, "pages")),
     "article_md": lambda spark, d: N.page_articles(table(spark, d, "pages")),
     "script_partition": lambda spark, d: N.page_scripts(table(spark, d, "pages")),

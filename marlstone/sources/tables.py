@@ -13,6 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of an input with fewer splits than there are cores, dealt out to all of them.
+
+    Text functions cost far more than moving such an input, whose size is bounded by
+    its few splits. Larger inputs are left as they are read.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def sources(documents: DataFrame) -> DataFrame:
     """``documents`` as ingested sources, with content hash and sizes."""
     text = F.coalesce("text", F.lit(""))
