@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .worker import drops
+
 U64 = np.uint64
 SLICE_BYTES = 1 << 18
 
@@ -56,6 +58,9 @@ def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+drops(_powers.cache_clear)
+
+
 class Prefix:
     """Substring hashes over one array of bytes."""
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import bound_batches
 from .bytehash import slices
+from .worker import claim, drops
 
 DIMENSIONS = 512
 _LETTERS = 4096  # letters are told apart modulo this, less the boundary
@@ -48,6 +49,9 @@ def _placed_letters(dims: int) -> tuple[np.ndarray, ...]:
     return np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters
 
 
+drops(_placed_letters.cache_clear)
+
+
 def trigram_vectors(codes: np.ndarray, dims: int = DIMENSIONS) -> np.ndarray:
     """The bound vector of each trigram code."""
     first, second, third = _placed_letters(dims)
@@ -91,6 +95,7 @@ def profiles(rows: np.ndarray, codes: np.ndarray, counts: np.ndarray, n: int, di
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to trigram counts by language, summed within a batch."""
+    claim("langid")
     for batch in batches:
         langs = batch.column(0).dictionary_encode()
         index, names = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), langs.dictionary
@@ -141,6 +146,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", dim
 
 def _predicted(names: list[str], prototypes: np.ndarray, text_at: int, dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid")
         for batch in batches:
             langs, scores = [], []
             for lo, hi, data, off in slices(batch.column(text_at)):

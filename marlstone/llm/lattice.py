@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import bound_batches, cut, release
 from .bytehash import U64, Index, Prefix, slices, word_bounds
 from .langid import is_held_out
+from .worker import claim
 
 HEAD, ROUNDS = 500_000, 2
 _CELLS = 1 << 21  # lattice cells worked on at once
@@ -163,6 +164,7 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(training, text) to (word, count in training texts, count in all), summed as far as memory allows."""
+    claim("lattice")
     seen: list[Counter] = [Counter(), Counter()]
 
     def table() -> pa.RecordBatch:
@@ -198,6 +200,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterato
 
 def _expected(path: str, begin: np.ndarray, inner: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lattice")
         sums = np.zeros(len(begin) + len(inner))
         for batch in _gathered(batches):
             words = batch.column(0).to_pylist()

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import bound_batches, cut
 from .bytehash import U64, Prefix, mix, slices, word_bounds
 from .components import connected_components
+from .worker import claim
 
 WORDS, COORDINATES, BAND = 5, 160, 4
 PERCENT = 75
@@ -99,6 +100,7 @@ _SKETCHED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("minhash")
     for batch in batches:
         sizes, a, b, bands = [], [], [], []
         for members in shingle_sets(batch.column(1)):
@@ -115,6 +117,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("minhash")
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], names=["doc_id", "members"])
 

@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import bound_batches, cut
+from .worker import claim, drops
 
 CAPACITY, GROUPS, SMALL, PER_TASK = 2048, 256, 2048 // 3, 25_000
 END_ID = 0
-_MOST_WORDS = 1_200_000  # about 250 MB
+_MOST_WORDS = 1_000_000  # about 200 MB
 
 
 class WordEncoder:
@@ -61,6 +62,7 @@ class WordEncoder:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+drops(_ENCODERS.clear)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -72,6 +74,7 @@ def encoder(path: str) -> WordEncoder:
 
 def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing")
         encode = encoder(path)
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), [[] for _ in range(6)]

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import bound_batches, cut, release
 from .bytehash import MIX_A, U64, Prefix, mix, slices
+from .worker import claim
 
 LENGTH, GRAM, RANGE = 400, 160, 24
 SEGMENT = 1 << 22
@@ -79,6 +80,7 @@ _ANCHORS = "id long, hash long, first long, last long, at long, core long, fa lo
 
 def _anchored(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("repeats")
         for batch in batches:
             ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for lo, base, data, off in _segments(batch.column(2), length):
@@ -93,6 +95,7 @@ def _contexts(length: int):
     """Bytes that the open strings of each anchor cover, cut out of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("repeats")
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for i in range(batch.num_rows):

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import bound_batches
 from .bytehash import MIX_A, MIX_B, U64, Index, Prefix, mix, slices
+from .worker import claim, drops
 
 DROPOUT, SEED, VARIANTS = 0.1, 20, 4
 MARK = "▁"
@@ -101,6 +102,7 @@ class Memo:
 
 
 _MEMOS: dict[tuple, Memo] = {}
+drops(_MEMOS.clear)
 
 
 @functools.cache
@@ -256,6 +258,7 @@ def decode(rule: Merges, ids: np.ndarray) -> bytes:
 
 def _encoded(path: str, dropout: float, seed: int, variants: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("subword")
         rule = merges(path)
         for batch in batches:
             rows, sizes = [], []
