@@ -15,7 +15,9 @@ from ..operators import graph as G
 from ..operators import ingest as N
 from ..operators import maintain as M
 from ..operators import retrieval as R
+from ..operators import enrich as Z
 from ..operators import search as S
+from ..operators import sessions as O
 from ..sources.tables import line_chunks, messages, sources, spread, table
 from ..streaming import incremental as I
 
@@ -655,3 +657,45 @@ QUERIES |= {
     "script_partition": lambda spark, d: N.page_scripts(table(spark, d, "pages")),
     "page_state": lambda spark, d: N.page_state(table(spark, d, "pages")),
 }
+
+
+# ---- sessions and enrichment ----
+
+
+@query("session_titles", r"WITH f AS (SELECT conv_id AS session_id, trim(regexp_replace(arg_min(coalesce(text, ''), turn), '\s+', ' ', 'g')) AS x FROM conversations WHERE role = 'user' GROUP BY conv_id) SELECT session_id, CASE WHEN x = '' THEN 'New Chat' WHEN length(x) > 40 THEN regexp_replace(substring(x, 1, 40), ' [^ ]*$', '') || '…' ELSE x END AS title FROM f")
+def _(spark, d):
+    first = messages(table(spark, d, "conversations")).filter("role = 'user'").groupBy("session_id").agg(F.min_by("content", "seq").alias("content"))
+    return first.select("session_id", O.title_of(F.col("content")).alias("title"))
+
+
+def _plans(spark: SparkSession, d: str) -> DataFrame:
+    status = F.element_at(F.array(*[F.lit(s) for s in ("done", "in_progress", "pending", "odd")]), (F.least(F.col("seq"), F.col("session_id") % 6 + 1) % 4 + 1).cast("int"))
+    return messages(table(spark, d, "conversations")).select("session_id", "seq", "content", status.alias("status"))
+
+
+_PLANS = f"{_MESSAGES}, plan AS (SELECT session_id, seq, content, ['done', 'in_progress', 'pending', 'odd'][least(seq, session_id % 6 + 1) % 4 + 1] AS status FROM m)"
+
+
+@query("plan_faults", f"WITH {_PLANS}, f AS (SELECT session_id, CASE WHEN count(*) > 200 THEN 'too many steps' WHEN count(*) FILTER (status = 'odd') > 0 THEN 'unknown status' WHEN count(*) FILTER (trim(content) = '') > 0 THEN 'empty step' WHEN count(*) FILTER (status = 'in_progress') > 1 THEN 'several steps in progress' END AS fault FROM plan GROUP BY session_id) SELECT * FROM f WHERE fault IS NOT NULL")
+def _(spark, d):
+    return O.plan_faults(_plans(spark, d))
+
+
+@query("plan_current", f"WITH {_PLANS} SELECT session_id, arg_min(seq, (CASE status WHEN 'in_progress' THEN 0 ELSE 1 END) * 100000 + seq) AS seq FROM plan WHERE status IN ('in_progress', 'pending') GROUP BY session_id")
+def _(spark, d):
+    return O.current_step(_plans(spark, d)).select("session_id", "seq")
+
+
+_GUARD = """g AS (SELECT doc_id AS source_id, text, 'Concept' AS kind, split_part(coalesce(text, ''), ' ', 2) AS value FROM documents UNION ALL
+  SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'strange' ELSE 'place' END, lang || ' ' || doc_id FROM documents),
+r AS (SELECT source_id, kind, value, CASE WHEN trim(value) = '' THEN 'empty' WHEN strlen(trim(value)) > 96 THEN 'too long' WHEN lower(kind) = 'strange' THEN 'unknown kind' WHEN NOT contains(lower(text), lower(trim(value))) THEN 'not in the text' END AS reject_reason FROM g)"""
+
+
+@query("entity_guard", f"WITH {_GUARD} SELECT source_id, kind, value, reject_reason FROM r")
+def _(spark, d):
+    rows = docs(spark, d).select(F.col("doc_id").alias("source_id"), F.coalesce("text", F.lit("")).alias("text"), "lang")
+    second = F.coalesce(F.try_element_at(F.split("text", " "), F.lit(2)), F.lit(""))
+    made = rows.select("source_id", F.lit(0).alias("pos"), F.lit("Concept").alias("kind"), second.alias("value")).unionByName(
+        rows.select("source_id", F.lit(1).alias("pos"), F.when(F.col("source_id") % 3 == 0, "strange").otherwise("place").alias("kind"), F.concat_ws(" ", "lang", F.col("source_id").cast("string")).alias("value"))
+    )
+    return Z.guard(made, rows).select("source_id", "kind", "value", "reject_reason")

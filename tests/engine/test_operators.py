@@ -136,3 +136,35 @@ def test_cut_tables_can_be_released(spark):
     release(t)
     with pytest.raises(Exception):
         spark.read.parquet(t._marlstone_path).count()
+
+
+def test_enrichment(spark):
+    from marlstone.operators import enrich
+
+    sources = spark.createDataFrame([(1, "Ada Lovelace wrote to ada. Spark runs."), (2, None)], "source_id long, text string")
+    found = enrich.extract(sources, lambda t: [("person", "Ada"), ("Person", " ada "), ("technology", "Spark"), ("technology", "Hadoop"), ("thing", "Ada"), ("place", "")] if t else [])
+    guarded = enrich.guard(found, sources)
+    assert [r["reject_reason"] for r in guarded.orderBy("pos").collect()] == [None, "repeated", None, "not in the text", "unknown kind", "empty"]
+    chunks = spark.createDataFrame([(10, 1, "Ada Lovelace wrote to ada."), (11, 1, "Spark runs.")], "chunk_id long, source_id long, text string")
+    links = enrich.attribute(guarded, chunks)
+    assert sorted((r["chunk_id"], r["value"], r["count"]) for r in links.collect()) == [(10, "ada", 2), (11, "spark", 1)]
+    assert enrich.rollback(links, "llm").count() == 0
+    assert {r["outcome"]: r["n"] for r in enrich.rates(guarded).collect()}["accepted"] == 2
+
+
+def test_sessions(spark):
+    from marlstone.operators import sessions
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert one(sessions.title_of(F.lit("  a  b "))) == "a b" and one(sessions.title_of(F.lit(""))) == "New Chat"
+    assert one(sessions.title_of(F.lit("word " * 20))) == "word word word word word word word word…"
+    assert one(sessions.artifact_type(F.lit("x.MD"))) == "markdown" and one(sessions.artifact_type(F.lit("x"))) == "text"
+    assert one(sessions.safe_name(F.lit(" My / file! "))) == "my-file" and one(sessions.safe_name(F.lit("///"))) == "untitled"
+    tools = spark.createDataFrame([("b",), ("a",)], "name string")
+    off = spark.createDataFrame([(1, "a")], "session_id int, tool_name string")
+    assert [r["name"] for r in sessions.enabled_tools(tools, off, 1).collect()] == ["b"]
+    old = spark.createDataFrame([(1, 4)], "session_id int, seq int")
+    new = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (2, 0, "z")], "session_id int, pos int, content string")
+    assert {r["content"]: r["seq"] for r in sessions.with_sequence(old, new).collect()} == {"x": 5, "y": 6, "z": 1}
+    skills = spark.createDataFrame([("Make", "Tea"), ("other", "coffee")], "name string, description string")
+    assert [r["name"] for r in sessions.find_skills(skills, "TEA").collect()] == ["Make"]
