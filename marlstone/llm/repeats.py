@@ -171,10 +171,10 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = cut(rows.join(company, "core", "left_semi"), "bucketed")
     place = F.struct("id", "hash", "first", "last", "at")
     classes = cut(rows.groupBy("core", "fa", "fb").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one")), "classes")
-    done = cut(rows.join(classes.filter("n > 1").select("core", "fa", "fb"), ["core", "fa", "fb"], "left_semi").select("id", "hash", "first", "last"), "settled")
+    done = rows.join(classes.filter("n > 1").select("core", "fa", "fb"), ["core", "fa", "fb"], "left_semi").select("id", "hash", "first", "last")
     alone = classes.filter("n = 1").select("core").distinct()
-    refine = cut(classes.join(alone, "core", "left_semi").select("one.*"), "refine")
-    release(rows, classes, company)
+    refine = classes.join(alone, "core", "left_semi").select("one.*")
+    release(company)
     return done, refine
 
 
