@@ -15,6 +15,7 @@ lengths, so what this costs is less than a sequence or two for each.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,11 @@ from .worker import claim, drops
 
 CAPACITY, GROUPS, SMALL, PER_TASK = 2048, 256, 2048 // 3, 25_000
 END_ID = 0
-_MOST_WORDS = 1_000_000  # about 200 MB
+_MOST_WORDS = 1_300_000  # about 260 MB
+
+
+def _little_endian(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordEncoder:
@@ -57,7 +62,7 @@ class WordEncoder:
             for lo in range(0, len(new), 2000):
                 part = new[lo : lo + 2000]
                 for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+                    known[w] = _little_endian(e.ids)
         return b"".join(map(known.__getitem__, words))
 
 
