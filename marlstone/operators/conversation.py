@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import first_words, trimmed
 
 #: Bytes of a turn, words of the gist of the turn before, tokens a message costs besides its text.
-MAX_TURN_BYTES, GIST_WORDS, MESSAGE_COST = 200_000, 24, 8
+MAX_TURN_BYTES, GIST_WORDS, MESSAGE_COST = 200_000, 12, 8
 
 
 def with_defaults(messages: DataFrame) -> DataFrame:

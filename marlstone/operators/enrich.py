@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Kinds an extractor may give, most bytes of a value, most entities of a source, sources of a batch.
-KINDS = ("person", "organization", "project", "technology", "place", "concept", "event")
+KINDS = ("person", "org", "date", "path", "code", "number", "proper")
 MAX_VALUE, MAX_PER_SOURCE, BATCH = 96, 60, 25
 
 

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: States of a plan's steps, most steps, longest title.
-STATES, MAX_STEPS, MAX_TITLE = ("pending", "in_progress", "done", "skipped"), 200, 40
+STATES, MAX_STEPS, MAX_TITLE = ("pending", "in_progress", "completed", "failed"), 200, 40
 #: Content types of artifacts by file ending.
-TYPES = {"md": "markdown", "html": "html", "json": "json", "csv": "csv", "py": "code", "js": "code", "go": "code", "sql": "code", "txt": "text"}
+TYPES = {
+    "md": "markdown", "markdown": "markdown", "py": "python", "go": "go", "js": "javascript", "ts": "typescript", "json": "json",
+    "yaml": "yaml", "yml": "yaml", "html": "html", "htm": "html", "css": "css", "sql": "sql", "txt": "text",
+}
 
 
 def plan_faults(steps: DataFrame) -> DataFrame:
@@ -61,9 +64,9 @@ def artifact_type(name: Column) -> Column:
 
 
 def safe_name(title: Column) -> Column:
-    """A file name from a title."""
-    x = F.regexp_replace(F.regexp_replace(F.lower(title), r"[^\p{L}\p{Nd}._-]+", "-"), r"^[-.]+|[-.]+$", "")
-    return F.when(F.coalesce(x, F.lit("")) == "", "untitled").otherwise(x)
+    """A file name from a title: characters that a file system may refuse become one underscore."""
+    x = F.regexp_replace(F.trim(title), r'[\\/:*?"<>|]+', "_")
+    return F.when(F.coalesce(x, F.lit("")) == "", "artifact").otherwise(x)
 
 
 def latest_session(sessions: DataFrame) -> DataFrame:

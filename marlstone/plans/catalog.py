@@ -346,7 +346,7 @@ def _(spark, d):
     return C.turns(messages(table(spark, d, "conversations"))).filter("skip_reason is not null").select("session_id", "start_seq", "skip_reason")
 
 
-@query("thread_context", f"""WITH {_TURNS}, ok AS (SELECT session_id, start_seq, array_to_string(list_filter(string_split_regex(user_text, '\\s+'), lambda w: w <> '')[1:24], ' ') AS gist FROM s WHERE skip_reason IS NULL),
+@query("thread_context", f"""WITH {_TURNS}, ok AS (SELECT session_id, start_seq, array_to_string(list_filter(string_split_regex(user_text, '\\s+'), lambda w: w <> '')[1:12], ' ') AS gist FROM s WHERE skip_reason IS NULL),
 g AS (SELECT *, lag(gist) OVER (PARTITION BY session_id ORDER BY start_seq) AS prev FROM ok)
 SELECT session_id, start_seq, 'Conversation: session ' || session_id || CASE WHEN coalesce(prev, '') <> '' THEN ' — Previously: ' || prev ELSE '' END AS context FROM g""")
 def _(spark, d):
@@ -669,11 +669,11 @@ def _(spark, d):
 
 
 def _plans(spark: SparkSession, d: str) -> DataFrame:
-    status = F.element_at(F.array(*[F.lit(s) for s in ("done", "in_progress", "pending", "odd")]), (F.least(F.col("seq"), F.col("session_id") % 6 + 1) % 4 + 1).cast("int"))
+    status = F.element_at(F.array(*[F.lit(s) for s in ("completed", "in_progress", "pending", "odd")]), (F.least(F.col("seq"), F.col("session_id") % 6 + 1) % 4 + 1).cast("int"))
     return messages(table(spark, d, "conversations")).select("session_id", "seq", "content", status.alias("status"))
 
 
-_PLANS = f"{_MESSAGES}, plan AS (SELECT session_id, seq, content, ['done', 'in_progress', 'pending', 'odd'][least(seq, session_id % 6 + 1) % 4 + 1] AS status FROM m)"
+_PLANS = f"{_MESSAGES}, plan AS (SELECT session_id, seq, content, ['completed', 'in_progress', 'pending', 'odd'][least(seq, session_id % 6 + 1) % 4 + 1] AS status FROM m)"
 
 
 @query("plan_faults", f"WITH {_PLANS}, f AS (SELECT session_id, CASE WHEN count(*) > 200 THEN 'too many steps' WHEN count(*) FILTER (status = 'odd') > 0 THEN 'unknown status' WHEN count(*) FILTER (trim(content) = '') > 0 THEN 'empty step' WHEN count(*) FILTER (status = 'in_progress') > 1 THEN 'several steps in progress' END AS fault FROM plan GROUP BY session_id) SELECT * FROM f WHERE fault IS NOT NULL")
@@ -686,8 +686,8 @@ def _(spark, d):
     return O.current_step(_plans(spark, d)).select("session_id", "seq")
 
 
-_GUARD = """g AS (SELECT doc_id AS source_id, text, 'Concept' AS kind, split_part(coalesce(text, ''), ' ', 2) AS value FROM documents UNION ALL
-  SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'strange' ELSE 'place' END, lang || ' ' || doc_id FROM documents),
+_GUARD = """g AS (SELECT doc_id AS source_id, text, 'Proper' AS kind, split_part(coalesce(text, ''), ' ', 2) AS value FROM documents UNION ALL
+  SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'strange' ELSE 'org' END, lang || ' ' || doc_id FROM documents),
 r AS (SELECT source_id, kind, value, CASE WHEN trim(value) = '' THEN 'empty' WHEN strlen(trim(value)) > 96 THEN 'too long' WHEN lower(kind) = 'strange' THEN 'unknown kind' WHEN NOT contains(lower(text), lower(trim(value))) THEN 'not in the text' END AS reject_reason FROM g)"""
 
 
@@ -695,7 +695,7 @@ r AS (SELECT source_id, kind, value, CASE WHEN trim(value) = '' THEN 'empty' WHE
 def _(spark, d):
     rows = docs(spark, d).select(F.col("doc_id").alias("source_id"), F.coalesce("text", F.lit("")).alias("text"), "lang")
     second = F.coalesce(F.try_element_at(F.split("text", " "), F.lit(2)), F.lit(""))
-    made = rows.select("source_id", F.lit(0).alias("pos"), F.lit("Concept").alias("kind"), second.alias("value")).unionByName(
-        rows.select("source_id", F.lit(1).alias("pos"), F.when(F.col("source_id") % 3 == 0, "strange").otherwise("place").alias("kind"), F.concat_ws(" ", "lang", F.col("source_id").cast("string")).alias("value"))
+    made = rows.select("source_id", F.lit(0).alias("pos"), F.lit("Proper").alias("kind"), second.alias("value")).unionByName(
+        rows.select("source_id", F.lit(1).alias("pos"), F.when(F.col("source_id") % 3 == 0, "strange").otherwise("org").alias("kind"), F.concat_ws(" ", "lang", F.col("source_id").cast("string")).alias("value"))
     )
     return Z.guard(made, rows).select("source_id", "kind", "value", "reject_reason")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders that hold no notes, most bytes of a note and notes of a scan.
-IGNORED = {".git", ".obsidian", ".trash", "node_modules", ".vscode", ".idea", "dist", "build", "target", "vendor", "__pycache__"}
+IGNORED = {".git", ".obsidian", ".trash", ".stfolder", "node_modules", "dist", "build", "vendor", ".venv", "__pycache__", ".cache"}
 MAX_BYTES, MAX_NOTES = 2 << 20, 20_000
 
 

@@ -142,7 +142,7 @@ def test_enrichment(spark):
     from marlstone.operators import enrich
 
     sources = spark.createDataFrame([(1, "Ada Lovelace wrote to ada. Spark runs."), (2, None)], "source_id long, text string")
-    found = enrich.extract(sources, lambda t: [("person", "Ada"), ("Person", " ada "), ("technology", "Spark"), ("technology", "Hadoop"), ("thing", "Ada"), ("place", "")] if t else [])
+    found = enrich.extract(sources, lambda t: [("person", "Ada"), ("Person", " ada "), ("proper", "Spark"), ("code", "Hadoop"), ("thing", "Ada"), ("org", "")] if t else [])
     guarded = enrich.guard(found, sources)
     assert [r["reject_reason"] for r in guarded.orderBy("pos").collect()] == [None, "repeated", None, "not in the text", "unknown kind", "empty"]
     chunks = spark.createDataFrame([(10, 1, "Ada Lovelace wrote to ada."), (11, 1, "Spark runs.")], "chunk_id long, source_id long, text string")
@@ -159,7 +159,7 @@ def test_sessions(spark):
     assert one(sessions.title_of(F.lit("  a  b "))) == "a b" and one(sessions.title_of(F.lit(""))) == "New Chat"
     assert one(sessions.title_of(F.lit("word " * 20))) == "word word word word word word word word…"
     assert one(sessions.artifact_type(F.lit("x.MD"))) == "markdown" and one(sessions.artifact_type(F.lit("x"))) == "text"
-    assert one(sessions.safe_name(F.lit(" My / file! "))) == "my-file" and one(sessions.safe_name(F.lit("///"))) == "untitled"
+    assert one(sessions.safe_name(F.lit(" My: / file "))) == "My_ _ file" and one(sessions.safe_name(F.lit(" "))) == "artifact"
     tools = spark.createDataFrame([("b",), ("a",)], "name string")
     off = spark.createDataFrame([(1, "a")], "session_id int, tool_name string")
     assert [r["name"] for r in sessions.enabled_tools(tools, off, 1).collect()] == ["b"]
