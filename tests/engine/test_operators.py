@@ -90,6 +90,22 @@ def test_search_without_vectors_still_answers(spark):
     assert 1 <= len(out) <= 3 and len({r["source"] for r in out}) == len(out)
 
 
+def test_search_returns_documents_that_only_an_edge_reaches(spark):
+    rows = [(1, "alpha beta words", "a"), (2, "nothing in common", "b"), (3, "neither has this", "c"), (4, "nor this one here", "d"), (5, "alpha again", "e"), (6, None, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    asked = spark.createDataFrame([("alpha beta",)], "text string")
+    links = [(1, 2, "link", 1.0), (2, 3, "next", 1.0), (1, 4, "link", 0.5), (1, 6, "link", 0.9), (1, 99, "link", 0.8), (1, 5, "link", 0.5)]
+    edges = spark.createDataFrame(links, "src long, dst long, kind string, weight double")
+    run = lambda edges, **o: {r["doc_id"]: r["fused"] for r in search.search(docs, None, asked, None, edges, search.Options(**o)).collect()}
+    plain, walked = run(None), run(edges)
+    assert set(plain) == {1, 5} and set(walked) == {1, 2, 3, 4, 5, 6}
+    for node, gain in ((2, 0.6), (3, 0.3), (4, 0.3), (6, 0.54)):
+        assert walked[node] == pytest.approx(plain[1] * gain)
+    # A candidate that the walk reaches too is raised by a quarter of the walk's score, not added again.
+    assert walked[1] == plain[1] and walked[5] == pytest.approx(plain[5] + 0.25 * plain[1] * 0.3)
+    assert set(run(edges, exclude_source="b")) == {1, 3, 4, 5, 6} and set(run(edges, source_types=["a", "d"])) == {1, 4}
+
+
 def test_maintenance(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "B"), (3, "C")], "k int, v string")
