@@ -9,9 +9,9 @@ whether the candidate is skipped, so that another run gives the same pieces and
 another seed others.  What is no piece falls back to bytes, and so does a literal
 mark, so every sequence decodes to its text.
 
-Agendas of many parts are processed at once, one merge in each at a time.  A
-part's place enters the hash modulo ``VARIANTS``, so equal parts of a batch with
-an equal remainder are worked out once.
+Agendas of many parts are processed at once, one merge in each at a time.  With
+dropout every part of every document has its own hashes and its own agenda;
+without, equal parts are worked out once.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from ..plans.lineage import bound_batches
 from .bytehash import MIX_A, MIX_B, U64, Index, Prefix, mix, slices
 from .worker import claim, drops
 
+#: ``VARIANTS`` has no effect any more; callers may still name it.
 DROPOUT, SEED, VARIANTS = 0.1, 20, 4
 MARK = "▁"
 _SPACE, _BATCH = 0x20, 1 << 19
@@ -167,7 +168,10 @@ def run_agendas(rule: Merges, symbols: np.ndarray, keys: np.ndarray, dropout: fl
 
 
 def encode_slice(rule: Merges, data: np.ndarray, off: np.ndarray, row_keys: np.ndarray, dropout: float, variants: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Piece numbers of all texts of a slice one after the other, and how many each has."""
+    """Piece numbers of all texts of a slice one after the other, and how many each has.
+
+    ``variants`` is left from parts that shared hashes and has no effect.
+    """
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
     heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     off = np.minimum(heads[off], len(points))
@@ -184,14 +188,16 @@ def encode_slice(rule: Merges, data: np.ndarray, off: np.ndarray, row_keys: np.n
     length = np.diff(np.append(start, len(points)))
     owner = np.searchsorted(off, start, "right") - 1
     place = np.arange(len(start)) - np.searchsorted(start, off[owner])
+    if dropout:
+        n, ids = _worked_out(rule, points, start, length, mix(row_keys[owner] + place.astype(U64) * MIX_A + _keyed(seed)), dropout)
+        return ids, np.bincount(owner, n, rows).astype(np.int64)
     names = Prefix(points.astype("<u4").view(np.uint8), 41).of(start * 4, (start + length) * 4)
-    variant = mix(row_keys[owner] + place.astype(U64) * MIX_A) % U64(variants) if dropout else np.zeros(len(start), U64)
-    whole, first, inverse = np.unique(mix(names + variant * MIX_B), return_index=True, return_inverse=True)
+    whole, first, inverse = np.unique(names, return_index=True, return_inverse=True)
     counts = np.zeros(len(whole), np.int64)
-    memo = _MEMOS.setdefault((id(rule), dropout, variants, seed), Memo())
+    memo = _MEMOS.setdefault((id(rule),), Memo())
     known = memo.find(whole)
     fresh = np.flatnonzero(known < 0)
-    new_counts, new_flat = _worked_out(rule, points, start[first[fresh]], length[first[fresh]], mix(names[first[fresh]] + variant[first[fresh]] * MIX_B + _keyed(seed)), dropout)
+    new_counts, new_flat = _worked_out(rule, points, start[first[fresh]], length[first[fresh]], whole[fresh], dropout)
     # Old pieces first, then new ones: one array that every part points into.
     old = np.flatnonzero(known >= 0)
     pool, begin_at = memo.flat, np.zeros(len(whole), np.int64)
@@ -281,6 +287,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, dropout: float = DRO
     number in the text, so rows with equal id and text get equal pieces.  Null and
     empty texts have no pieces; a null id counts as 0; with ``dropout`` 0 the
     pieces are those of the vocabulary's own encoder, but for literal marks.
+    ``variants`` has no effect.
     """
     bound_batches(docs.sparkSession, rows=2000, megabytes=8)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))

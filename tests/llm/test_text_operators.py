@@ -210,6 +210,24 @@ def test_encoding_is_lossless_and_seeded(spark, odd, dropout):
         assert all(len(r["ids"]) >= len(r["text"] or "") for r in out)
 
 
+def test_dropout_varies_every_occurrence(spark):
+    word, rows = "internationalization", [(i, "internationalization " * 40) for i in range(30)]
+    out = subword.encode_documents(frame(spark, rows), PIECES, dropout=0.3, seed=1).collect()
+    rule, seen, texts = subword.merges(PIECES), set(), set()
+    for r in out:
+        texts.add(tuple(r["ids"]))
+        parts, last = [], b""
+        for i in r["ids"]:
+            if rule.strings[i].startswith(b" "):
+                parts.append([])
+            parts[-1].append(i)
+            last += rule.strings[i]
+        assert last.decode() == " " + r["text"]
+        seen.update(tuple(p) for p in parts if b"".join(rule.strings[i] for i in p).decode().strip() == word)
+    # Remainders modulo four gave at most four segmentations in all.
+    assert len(seen) > 40 and len(texts) == len(rows)
+
+
 def test_lattice_sums_over_all_segmentations():
     begin, inner, lb, li = lattice.vocabulary(PIECES)
     first, rest = dict(zip(begin, lb, strict=True)), dict(zip(inner, li, strict=True))
