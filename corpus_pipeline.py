@@ -36,8 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the passages that also stand elsewhere; emptied ones stay, with empty text."""
-    left = repeats.remove_repeats(docs.select(*COLUMNS))
+    """All documents without the passages of over 50 words that also stand elsewhere; emptied ones stay, with empty text."""
+    left = repeats.remove_passages(docs.select(*COLUMNS))
     return left.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import bound_batches, cut, release
-from .bytehash import MIX_A, U64, Prefix, mix, slices
+from .bytehash import MIX_A, U64, Prefix, mix, slices, word_bounds
 from .worker import claim
 
 LENGTH, GRAM, RANGE = 400, 160, 24
+#: A passage of this many words is repeated if it stands twice; bytes of a word's name.
+WORDS, NAME = 51, 8
 SEGMENT = 1 << 22
 _INDEX_BITS = U64((1 << 24) - 1)
 
@@ -245,6 +247,89 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(*back, *added)
 
 
+def passage_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word of UTF-8 texts: what white space parts, and each kana or ideograph."""
+    start, end = word_bounds(data, off)
+    after = np.r_[data[1:], np.uint8(0)]
+    three = ((data >= 0xE4) & (data <= 0xE9)) | ((data == 0xE3) & (after >= 0x81))
+    four = (data == 0xF0) & (after >= 0xA0) & (after < 0xC0)
+    if not (three.any() or four.any()):
+        return start, end
+    begins = np.zeros(len(data) + 5, bool)
+    begins[start] = True
+    for at, size in ((np.flatnonzero(three), 3), (np.flatnonzero(four), 4)):
+        begins[at] = True
+        run = np.searchsorted(start, at, "right") - 1
+        begins[(at + size)[at + size < end[run]]] = True
+    every = np.flatnonzero(begins)
+    return every, np.minimum(end[np.searchsorted(start, every, "right") - 1], np.r_[every[1:], len(data)])
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as the 64-bit names of their words, one after the other."""
+    claim("repeats")
+    for batch in batches:
+        flat, sizes = [], []
+        for _, _, data, off in slices(batch.column(2)):
+            start, end = passage_words(data, off)
+            lo = 0
+            while lo < len(start):
+                hi = max(lo + 1, int(np.searchsorted(end, start[lo] + SEGMENT, "right")))
+                a = start[lo]
+                flat.append(Prefix(data[a : end[hi - 1]], 7).of(start[lo:hi] - a, end[lo:hi] - a))
+                lo = hi
+            sizes.append(np.diff(np.searchsorted(start, off)))
+        names = np.concatenate(flat) if flat else np.zeros(0, U64)
+        ends = np.cumsum(np.concatenate(sizes)) if sizes else np.zeros(0, np.int64)
+        offsets = np.r_[0, ends].astype(np.int64) * NAME
+        words = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(names)]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words], names=["id", "hash", "text"])
+
+
+def _without_passages(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                text = np.frombuffer(batch.column(0)[i].as_buffer(), np.uint8)
+                found, kept = batch.column(1)[i], text
+                if found.is_valid and len(found.values):
+                    # Names match at whole words only; a removed word goes with the space after it.
+                    first, last = -(-found.values.field("first").to_numpy() // NAME), found.values.field("last").to_numpy() // NAME
+                    start = np.r_[passage_words(text, np.array([0, len(text)]))[0], len(text)]
+                    whole = first <= last
+                    change = np.zeros(len(text) + 1, np.int64)
+                    np.add.at(change, start[first[whole]], 1)
+                    np.add.at(change, start[last[whole] + words], -1)
+                    kept = text[np.cumsum(change)[:-1] == 0]
+                out.append(kept.tobytes().decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], names=["kept_text", *batch.schema.names[2:]])
+
+    return run
+
+
+def remove_passages(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``docs`` with ``kept_text``: each text without its repeated passages.
+
+    A passage is a run of ``words`` words or more that stands at two places of the
+    table, whatever its bytes and the white space in it.  Texts become the names of
+    their words, and so repeated strings of ``NAME * words`` bytes that start with a
+    word are repeated passages; texts are otherwise treated as by remove_repeats.
+    """
+    bound_batches(docs.sparkSession, rows=500, megabytes=8)
+    carried = [c for c in docs.columns if c != "kept_text"]
+    inner = docs.select([docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(carried)])
+    text = F.coalesce(F.col(f"_c{carried.index(text_col)}").cast("string"), F.lit(""))
+    inner = inner.withColumn("text", text).withColumn("id", F.coalesce(F.col(f"_c{carried.index(id_col)}").cast("long"), F.lit(-1))).withColumn("hash", F.xxhash64("text"))
+    named = inner.select("id", "hash", "text").mapInArrow(_named, "id long, hash long, text binary")
+    length = NAME * words
+    spans = repeated_spans(named, length, min(GRAM, length)).groupBy("id", "hash").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    columns = [c for c in inner.columns if c.startswith("_c")]
+    joined = inner.join(spans, ["id", "hash"], "left").select(F.col("text").cast("binary").alias("text"), "found", *columns)
+    schema = ", ".join(["kept_text string", *[f"{c} {joined.schema[c].dataType.simpleString()}" for c in columns]])
+    return joined.mapInArrow(_without_passages(words), schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carried)], "kept_text")
+
+
 def op7_remove_repeats(spark, sf_dir: str) -> DataFrame:
     """What removing 400-byte repeats leaves of every whole ``documents`` text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

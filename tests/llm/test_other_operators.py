@@ -159,6 +159,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert len({r["sequence_id"] for r in out}) == 1 and len(out) == 5
 
 
+def test_pipeline_removes_passages_of_51_words(spark):
+    passage = [f"w{i % 29}x{i % 31}" for i in range(51)]
+    fifty, signs = [f"v{i}" for i in range(50)], "".join(chr(0x4E00 + i * 7) for i in range(60))
+    assert len(" ".join(passage)) < 400 and len(signs.encode()) < 400
+    own = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    texts = {1: f"{own('a', 30)} {' '.join(passage)} é end", 2: "\n".join(passage), 3: f"{own('c', 9)} {' '.join(passage[:50])} stop", 4: f"start {' '.join(fifty)} one", 5: f"begin {' '.join(fifty)} two", 6: f"天 {signs} left", 7: f"right {signs}", 8: None, 9: "short"}
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    assert out == {**texts, 1: f"{own('a', 30)} é end", 2: "", 6: "天 left", 7: "right ", 8: ""}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", list(registry.ORACLE_SQL))
 def test_sql_oracles(spark, name):
