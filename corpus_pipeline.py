@@ -20,9 +20,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is recognised; those without text or a letter go.
 
     Prototypes are learned from all labelled documents. A missing label becomes
-    the prediction; others stay.
+    the prediction; others stay. If no language was learned, as without labels,
+    all documents with a letter stay, and a missing label becomes ``und``.
     """
     names, prototypes = langid.fit(docs)
+    if not names:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).withColumn("lang", F.coalesce("lang", F.lit(langid.UNKNOWN))).select(*COLUMNS)
     known = langid.identify(docs.withColumn("kept_text", F.col("text")), names, prototypes)
     kept = known.filter(F.col("lang_pred") != langid.UNKNOWN).withColumnRenamed("kept_text", "text")
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)

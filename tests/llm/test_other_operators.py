@@ -159,6 +159,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert len({r["sequence_id"] for r in out}) == 1 and len(out) == 5
 
 
+def test_pipeline_without_labels_keeps_texts_with_letters(spark):
+    rows = [(1, "clean words", None, "s", 1), (2, "é", None, "s", 1), (3, "123 $$", None, "s", 1), (4, None, "en", "s", 1), (5, "", None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.language(spark, docs, "")
+    assert out.columns == corpus_pipeline.COLUMNS and {(r["doc_id"], r["text"], r["lang"]) for r in out.collect()} == {(1, "clean words", "und"), (2, "é", "und")}
+
+
 def test_pipeline_removes_passages_of_51_words(spark):
     passage = [f"w{i % 29}x{i % 31}" for i in range(51)]
     fifty, signs = [f"v{i}" for i in range(50)], "".join(chr(0x4E00 + i * 7) for i in range(60))
