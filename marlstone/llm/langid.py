@@ -27,7 +27,6 @@ from .worker import claim, drops
 
 DIMENSIONS = 512
 _LETTERS = 4096  # letters are told apart modulo this, less the boundary
-_PLANES = 0x30000
 UNKNOWN = "und"
 
 
@@ -35,7 +34,7 @@ UNKNOWN = "und"
 def _letter_ids() -> np.ndarray:
     """Code point to letter number; 0 for what is no letter. Case is folded."""
     out = np.zeros(0x110000, np.uint16)
-    for cp in range(_PLANES):
+    for cp in range(len(out)):
         ch = chr(cp)
         if unicodedata.category(ch)[0] == "L":
             low = ch.lower()

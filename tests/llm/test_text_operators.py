@@ -275,6 +275,12 @@ def test_language_profiles(spark, odd):
     assert langid.identify(frame(spark, odd).limit(0), names, prototypes).count() == 0
 
 
+def test_letters_of_every_plane_count():
+    data = "\U00030000\U0003134a \U00031350".encode()
+    rows, _, counts = langid.trigrams(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert len(rows) and counts.sum() > 0
+
+
 def test_profiles_are_bound_and_bundled():
     text = "Ab, ab c".encode()
     row, code, count = langid.trigrams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
