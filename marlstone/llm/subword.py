@@ -9,15 +9,17 @@ whether the candidate is skipped, so that another run gives the same pieces and
 another seed others.  What is no piece falls back to bytes, and so does a literal
 mark, so every sequence decodes to its text.
 
-Agendas of many parts are processed at once, one merge in each at a time.  With
-dropout every part of every document has its own hashes and its own agenda;
-without, equal parts are worked out once.
+Agendas of many parts are processed at once, one merge in each at a time; a part
+of more than ``WIDE`` characters has a heap of its own, so that its cost grows
+with its length times the logarithm.  With dropout every part of every document
+has its own hashes and its own agenda; without, equal parts are worked out once.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -30,9 +32,8 @@ from ..plans.lineage import bound_batches
 from .bytehash import MIX_A, MIX_B, U64, Index, Prefix, mix, slices
 from .worker import claim, drops
 
-#: ``VARIANTS`` has no effect any more; callers may still name it.
-DROPOUT, SEED, VARIANTS = 0.1, 20, 4
-MARK = "▁"
+DROPOUT, SEED = 0.1, 20
+MARK, WIDE = "▁", 512
 _SPACE, _BATCH = 0x20, 1 << 19
 _NONE = np.int64(1 << 40)
 
@@ -72,6 +73,11 @@ class Merges:
         self.starts = np.concatenate([[0], np.cumsum([len(s) for s in self.strings])])
         self.flat = np.frombuffer(b"".join(self.strings), np.uint8)
 
+    @functools.cached_property
+    def by_pair(self) -> dict[int, tuple[int, int]]:
+        """Rank and joint piece of each pair, for one lookup at a time."""
+        return dict(zip(self.pairs.tolist(), zip(self.ranks.tolist(), self.joint.tolist(), strict=True), strict=True))
+
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (``_NONE`` for no pair) and joint piece of neighbours."""
         key = np.where((left >= 0) & (right >= 0), left << 20 | np.maximum(right, 0), -1)
@@ -116,11 +122,45 @@ def _keyed(seed: int) -> np.uint64:
     return U64(seed * int(MIX_A) % (1 << 64))
 
 
-def _skipped(rule: Merges, key: np.ndarray, place: np.ndarray, piece: np.ndarray, dropout: float) -> np.ndarray:
+def _skipped(key: np.ndarray, place: np.ndarray, piece: np.ndarray, dropout: float) -> np.ndarray:
     h = mix(key + place.astype(U64) * MIX_A + piece.astype(U64) * MIX_B)
     return h < U64(min(int(dropout * 2.0**64), (1 << 64) - 1))
 
 
+def run_heap(rule: Merges, symbols: np.ndarray, key: np.uint64, dropout: float) -> np.ndarray:
+    """What ``run_agendas`` makes of one row without end marks, for long rows."""
+    sym, n = symbols.tolist(), len(symbols)
+    after, before, pairs = [*range(1, n), -1], list(range(-1, n - 1)), rule.by_pair
+    heap: list[tuple[int, int, int, int, int]] = []
+
+    def look(at: int) -> None:
+        to = after[at]
+        if to >= 0 and sym[at] >= 0 and sym[to] >= 0:
+            hit = pairs.get(sym[at] << 20 | sym[to])
+            if hit and not (dropout and _skipped(key, np.array([at]), np.array([hit[1]]), dropout)[0]):
+                heapq.heappush(heap, (hit[0], at, hit[1], sym[at], to))
+
+    if n > 1:
+        left, right = symbols[:-1], symbols[1:]
+        ranks, joints = rule.find(left, right)
+        if dropout:
+            ranks = np.where((ranks < _NONE) & _skipped(key, np.arange(n - 1), joints, dropout), _NONE, ranks)
+        heap += [(int(ranks[i]), i, int(joints[i]), sym[i], i + 1) for i in np.flatnonzero(ranks < _NONE).tolist()]
+        heapq.heapify(heap)
+    # An entry is out of date if either of its symbols has changed since; a symbol that grows gets another number.
+    while heap:
+        _, at, joint, was, to = heapq.heappop(heap)
+        if sym[at] != was or after[at] != to or pairs.get(was << 20 | max(sym[to], 0), (0, -1))[1] != joint:
+            continue
+        sym[at], sym[to], after[at] = joint, -3, after[to]
+        if after[to] >= 0:
+            before[after[to]] = at
+        look(at)
+        if before[at] >= 0:
+            look(before[at])
+    return np.array(sym, np.int64)
+
+
 def run_agendas(rule: Merges, symbols: np.ndarray, keys: np.ndarray, dropout: float) -> np.ndarray:
     """Merge rows of symbols (-1: no symbol to merge, -2: end) to the last; merged-away places are -3."""
     n, width = symbols.shape
@@ -131,7 +171,7 @@ def run_agendas(rule: Merges, symbols: np.ndarray, keys: np.ndarray, dropout: fl
     def look(rows: np.ndarray, cols: np.ndarray) -> None:
         r, j = rule.find(now[rows, cols], now[rows, cols + 1])
         if dropout:
-            r = np.where((r < _NONE) & _skipped(rule, keys[rows], slots[rows, cols], j, dropout), _NONE, r)
+            r = np.where((r < _NONE) & _skipped(keys[rows], slots[rows, cols], j, dropout), _NONE, r)
         rank[rows, cols], joint[rows, cols] = r, j
 
     now = symbols.copy()
@@ -167,11 +207,8 @@ def run_agendas(rule: Merges, symbols: np.ndarray, keys: np.ndarray, dropout: fl
     return out
 
 
-def encode_slice(rule: Merges, data: np.ndarray, off: np.ndarray, row_keys: np.ndarray, dropout: float, variants: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Piece numbers of all texts of a slice one after the other, and how many each has.
-
-    ``variants`` is left from parts that shared hashes and has no effect.
-    """
+def encode_slice(rule: Merges, data: np.ndarray, off: np.ndarray, row_keys: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Piece numbers of all texts of a slice one after the other, and how many each has."""
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
     heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     off = np.minimum(heads[off], len(points))
@@ -216,6 +253,13 @@ def _worked_out(rule: Merges, points: np.ndarray, start: np.ndarray, length: np.
     """How many pieces each part has, and the pieces one after the other; parts of like width run together."""
     counts, order, lo = np.zeros(len(start), np.int64), np.argsort(length, kind="stable"), 0
     sizes, parts, flats = length[order], [], []
+    wide = int(np.searchsorted(sizes, WIDE, "right"))
+    for k in order[wide:].tolist():
+        cps = points[start[k] : start[k] + length[k]][None, :]
+        flat, counts[[k]] = _with_bytes(rule, run_heap(rule, rule.chars[cps[0]], keys[k], dropout)[None, :], cps)
+        parts.append(np.array([k]))
+        flats.append(flat)
+    order, sizes = order[:wide], sizes[:wide]
     while lo < len(order):
         width = int(sizes[lo])
         most = width if width < 16 else width + max(4, width // 4)
@@ -262,7 +306,7 @@ def decode(rule: Merges, ids: np.ndarray) -> bytes:
     return flat.tobytes()[1:]
 
 
-def _encoded(path: str, dropout: float, seed: int, variants: int):
+def _encoded(path: str, dropout: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("subword")
         rule = merges(path)
@@ -270,7 +314,7 @@ def _encoded(path: str, dropout: float, seed: int, variants: int):
             rows, sizes = [], []
             keys = mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) + _keyed(seed))
             for lo, hi, data, off in slices(batch.column(1), _BATCH):
-                ids, n = encode_slice(rule, data, off, keys[lo:hi], dropout, variants, seed)
+                ids, n = encode_slice(rule, data, off, keys[lo:hi], dropout, seed)
                 rows.append(ids.astype(np.int32))
                 sizes.append(n)
             off = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32) if sizes else np.zeros(1, np.int32)
@@ -280,18 +324,18 @@ def _encoded(path: str, dropout: float, seed: int, variants: int):
     return run
 
 
-def encode_documents(docs: DataFrame, vocabulary_path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary_path: str, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, ids): the piece numbers of every text.
 
     The hash of a candidate merge knows the seed, the document's id and the part's
     number in the text, so rows with equal id and text get equal pieces.  Null and
     empty texts have no pieces; a null id counts as 0; with ``dropout`` 0 the
     pieces are those of the vocabulary's own encoder, but for literal marks.
-    ``variants`` has no effect.
+    Parts of any length are encoded whole.
     """
     bound_batches(docs.sparkSession, rows=2000, megabytes=8)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
-    return rows.mapInArrow(_encoded(vocabulary_path, dropout, seed, variants), "key long, text string, doc_id long, ids array<int>").select("doc_id", "text", "ids")
+    return rows.mapInArrow(_encoded(vocabulary_path, dropout, seed), "key long, text string, doc_id long, ids array<int>").select("doc_id", "text", "ids")
 
 
 def _digest(path: str):

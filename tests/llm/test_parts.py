@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -51,7 +53,7 @@ def test_memo_gives_equal_pieces_when_it_overflows(monkeypatch):
     def run():
         out = []
         for lo, hi, data, off in bytehash.slices(texts, 256):
-            out += subword.encode_slice(rule, data, off, np.arange(lo, hi).astype(U64), 0.3, 4, 9)[0].tolist()
+            out += subword.encode_slice(rule, data, off, np.arange(lo, hi).astype(U64), 0.3, 9)[0].tolist()
         return out
 
     subword._MEMOS.clear()
@@ -79,3 +81,67 @@ def test_a_worker_keeps_the_caches_of_one_operator():
     assert packing._ENCODERS
     worker.claim("b")
     assert not packing._ENCODERS
+
+
+def plain_agenda(rule, model, text, doc_key, dropout, seed):
+    """The definition, one part and one merge at a time, with whole numbers only."""
+    full = (1 << 64) - 1
+
+    def scramble(x):
+        x &= full
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & full
+        return x ^ x >> 31
+
+    number = {t: i for t, i in ((model.id_to_piece(i), i) for i in range(model.get_piece_size())) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    order = {i: r for r, i in enumerate(sorted(number.values(), key=lambda i: (-model.get_score(i), i)))}
+    out, parts = [], re.findall(r" +[^ ]*", f" {text}") if text else []
+    for place, part in enumerate(parts):
+        key = scramble(doc_key + place * 0xBF58476D1CE4E5B9 + seed * 0xBF58476D1CE4E5B9)
+        have = [(i, "\ufffe" if ch == "▁" else ch.replace(" ", "▁")) for i, ch in enumerate(part)]
+        while True:
+            best = None
+            for k in range(len(have) - 1):
+                piece = number.get(have[k][1] + have[k + 1][1])
+                if piece is not None and scramble(key + have[k][0] * 0xBF58476D1CE4E5B9 + piece * 0x94D049BB133111EB) >= int(dropout * 2.0**64):
+                    best = min(best or (order[piece], k), (order[piece], k))
+            if best is None:
+                break
+            k = best[1]
+            have[k : k + 2] = [(have[k][0], have[k][1] + have[k + 1][1])]
+        for i, s in have:
+            s = "▁" if s == "\ufffe" else s
+            if s in number and not (s == "▁" and part[i] == "▁"):
+                out.append(number[s])
+            else:
+                out += [model.piece_to_id(f"<0x{b:02X}>") for b in s.encode()]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.6])
+def test_dropout_is_that_of_a_plain_agenda(dropout, monkeypatch):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rule, model = subword.merges(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["internationalization of the  thinking\nsentence ", "", "naïve ▁ mark 世界 " + "x" * 30, "  aaaa" + "banana" * 12, None]
+    keys = [7, 99, 3, (1 << 64) - 5, 1]
+    want = [plain_agenda(rule, model, t, k, dropout, 20) for t, k in zip(texts, keys, strict=True)]
+    for wide in (512, 8, 0):
+        monkeypatch.setattr(subword, "WIDE", wide)
+        got = []
+        for lo, hi, data, off in bytehash.slices(pa.array(texts)):
+            ids, n = subword.encode_slice(rule, data, off, np.array(keys[lo:hi], U64), dropout, 20)
+            got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == want
+
+
+def test_long_parts_cost_in_proportion():
+    import time
+
+    rule, took = subword.merges(public_tokenizers.path("piece_bpe_32k.model")), []
+    for n in (20_000, 80_000):
+        text, began = "banana" * (n // 6), time.thread_time()
+        subword.encode_slice(rule, np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), np.array([1], U64), 0.1, 20)
+        took.append(time.thread_time() - began)
+    assert took[1] < 9 * took[0] + 0.5
