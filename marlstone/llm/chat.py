@@ -60,26 +60,48 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+def _doubled(start: DataFrame, rounds: int) -> list[DataFrame]:
+    """Tables of pointers (tree, node, up, gain, steps, least): in that of round k they span up to 2**k steps.
+
+    ``gain`` sums what lies below ``up`` and ``least`` is the smallest node there.
+    """
+    jumps = [cut(start, "jumps")]
+    while len(jumps) <= rounds and jumps[-1].filter("up is not null").limit(1).count():
+        last = jumps[-1]
+        # Pointers that have reached their root are carried along, not joined again.
+        live, there = last.filter("up is not null"), last.filter("up is null")
+        above = last.select("tree", F.col("node").alias("up"), *[F.col(c).alias(f"{c}_2") for c in ("up", "gain", "steps", "least")])
+        joined = live.join(above, ["tree", "up"])
+        further = joined.select("tree", "node", F.col("up_2").alias("up"), (F.col("gain") + F.col("gain_2")).alias("gain"), (F.col("steps") + F.col("steps_2")).alias("steps"), F.least("least", "least_2").alias("least"))
+        jumps.append(cut(further.unionByName(there), "jumps"))
+    return jumps
+
+
 def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, branch, node, depth) of the members of each tree's best branches.
 
-    ``nodes`` has tree (string), node and parent (long), score (double).  A branch
-    is a path from a root to a leaf and its score the sum of its nodes'; ties go to
-    the smaller leaf.  A parent that is missing or not smaller than its node makes
-    the node a root, so there are no cycles; a null score counts as 0.  (tree, node)
-    must be unique.
+    ``nodes`` has tree (string), node and parent (long, in any order), score
+    (double).  A branch is a path from a root to a leaf and its score the sum of
+    its nodes'; ties go to the smaller leaf.  A node whose parent is null, missing
+    or itself is a root, and so is the smallest node of a cycle; a null score
+    counts as 0.  (tree, node) must be unique.
     """
     known = nodes.select("tree", F.col("node").alias("parent"))
-    linked = nodes.filter("parent < node").join(known, ["tree", "parent"], "left_semi").select("tree", "node", "parent")
+    linked = nodes.filter("parent <> node").join(known, ["tree", "parent"], "left_semi").select("tree", "node", "parent")
     start = nodes.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("gain")).join(linked, ["tree", "node"], "left")
-    jumps = [cut(start.select("tree", "node", F.col("parent").alias("up"), "gain", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("steps")), "jumps")]
-    while jumps[-1].filter("up is not null").limit(1).count():
-        last = jumps[-1]
-        # Pointers that have reached their root are carried along, not joined again.
-        live, there = last.filter("up is not null"), last.filter("up is null")
-        above = last.select("tree", F.col("node").alias("up"), F.col("up").alias("up_2"), F.col("gain").alias("gain_2"), F.col("steps").alias("steps_2"))
-        joined = live.join(above, ["tree", "up"]).select("tree", "node", F.col("up_2").alias("up"), (F.col("gain") + F.col("gain_2")).alias("gain"), (F.col("steps") + F.col("steps_2")).alias("steps"))
-        jumps.append(cut(joined.unionByName(there), "jumps"))
+    start = start.select("tree", "node", F.col("parent").alias("up"), "gain", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("node").alias("least"))
+    most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
+    rounds = max(1, (most - 1).bit_length())  # 2**rounds steps lead out of every tree
+    jumps = _doubled(start, rounds)
+    lost = jumps[-1].filter("up is not null")
+    if lost.limit(1).count():
+        # After so many steps a pointer has gone all round its cycle.
+        ring = lost.join(lost.select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_semi")
+        heads = ring.filter("node = least").select("tree", "node", F.lit(True).alias("head"))
+        opened = jumps[0].join(heads, ["tree", "node"], "left").withColumn("up", F.when(F.col("head").isNull(), F.col("up")))
+        opened = opened.withColumn("steps", F.when(F.col("up").isNull(), 0).otherwise(F.col("steps")).cast("long")).drop("head")
+        old, jumps = jumps, _doubled(opened, rounds)
+        release(*old)
     parents = jumps[0].filter("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = jumps[-1].join(parents, ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("gain"), "node"))

@@ -119,6 +119,45 @@ def test_best_branches_of_reply_trees(spark):
     assert chat.format_trees(df.limit(0)).count() == 0
 
 
+def plain_branch(tree, branches):
+    """Best paths of {node: (parent, score)}, by walking up from every leaf."""
+    up = {n: p if p in tree and p != n else None for n, (p, _) in tree.items()}
+    for n in sorted(up):
+        seen, at = [], n
+        while at is not None and at not in seen:
+            seen.append(at)
+            at = up[at]
+        if at is not None:
+            up[min(seen[seen.index(at) :])] = None
+    paths = []
+    for leaf in set(tree) - set(up.values()):
+        path, at = [], leaf
+        while at is not None:
+            path.insert(0, at)
+            at = up[at]
+        paths.append((-sum(tree[n][1] or 0.0 for n in path), leaf, path))
+    return [path for _, _, path in sorted(paths)[:branches]]
+
+
+def test_trees_with_shuffled_ids_and_cycles(spark):
+    rng = np.random.default_rng(11)
+    trees = {"deep": {n: (p, 0.25) for n, p in zip((9, 4, 7), (None, 9, 4), strict=True)}, "ring": {5: (2, 1.0), 2: (8, 1.0), 8: (5, 1.0), 1: (8, 0.5), 3: (1, 2.0)}, "two": {1: (2, 1.0), 2: (1, 1.0)}, "self": {6: (6, None), 7: (6, 0.5)}}
+    for k in range(25):
+        n = int(rng.integers(1, 40))
+        ids = rng.choice(1000, n, replace=False)
+        above = [None if i == 0 or rng.random() < 0.05 else int(ids[rng.integers(0, i)]) for i in range(n)]
+        if k % 3 == 0 and n > 2:  # a parent that lies below
+            above[0] = int(ids[rng.integers(0, n)])
+        trees[f"t{k}"] = {int(i): (p, float(rng.integers(0, 8)) / 8) for i, p in zip(ids, above, strict=True)}
+    trees["chain"] = {100 - i: (101 - i if i else None, 1.0) for i in range(70)}
+    rows = [(t, n, p, s) for t, tree in trees.items() for n, (p, s) in tree.items()]
+    out = {}
+    for r in chat.best_paths(spark.createDataFrame(rows, "tree string, node long, parent long, score double"), 3).collect():
+        out.setdefault((r["tree"], r["branch"]), {})[r["depth"]] = r["node"]
+    want = {(t, i + 1): dict(enumerate(path)) for t, tree in trees.items() for i, path in enumerate(plain_branch(tree, 3))}
+    assert out == want
+
+
 @pytest.mark.parametrize("text", ["", "\\", "<|im_end|>", "<|im_start|>assistant\nx", "a\\<|b", "\\\\|<|", "<\\|", "<|" * 5])
 def test_templates_are_reversible(text):
     line, a, b = chat.format_turn("assistant", text)
