@@ -10,7 +10,12 @@ proportion to 1 / rank).  Rounds of expectation-maximisation over the distinct
 words of the training texts re-estimate them; words count once, as what they
 back off for are words not seen.  A whole word that was seen is
 one more arc of its lattice: it gets its discounted relative frequency, and the
-discounted mass weights the marginal over segmentations.
+discounted mass weights the marginal over segmentations.  The vocabulary's scores
+stay in the weights as a prior of ``PRIOR`` uses.  What the segmentations alone
+give a text is returned as well.
+
+A word of more than ``LONG`` bytes is worked on in windows of that size: its
+forward recursion holds the last few ends only, expectations one number a byte.
 
 Word counts are summed where they arise and kept as a table; texts are scored
 against the most frequent words at hand (``HEAD`` of them, a fixed bound) and
@@ -35,7 +40,8 @@ from .bytehash import U64, Index, Prefix, slices, word_bounds
 from .langid import is_held_out
 from .worker import claim
 
-HEAD, ROUNDS = 500_000, 2
+HEAD, ROUNDS, PRIOR = 500_000, 2, 100.0
+LONG = 4096
 _CELLS = 1 << 21  # lattice cells worked on at once
 
 
@@ -80,8 +86,9 @@ def _lookups(path: str) -> tuple[Pieces, Pieces]:
 
 
 def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, int]]:
-    lengths = np.array([len(w) for w in words])
-    for n in np.unique(lengths):
+    """Positions of words of one length, of those that aren't long."""
+    lengths = np.array([len(w) for w in words], np.int64)
+    for n in np.unique(lengths[lengths <= LONG]):
         at = np.flatnonzero(lengths == n)
         step = max(1, _CELLS // (int(n) + 1) // 16)
         for lo in range(0, len(at), step):
@@ -122,9 +129,82 @@ def forward(first: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def _window(word: bytes, lo: int, hi: int, path: str) -> np.ndarray:
+    """Piece numbers inner[end - lo - 1, length] of the pieces that end behind ``lo``, up to ``hi``."""
+    inner = _lookups(path)[1]
+    back = min(lo, inner.longest)
+    prefix = Prefix(np.frombuffer(word, np.uint8)[lo - back : hi], 23)
+    ends = np.arange(back + 1, back + hi - lo + 1)
+    out = np.full((hi - lo, inner.longest + 1), -1)
+    for k in range(1, inner.longest + 1):
+        fits = ends[ends >= k]
+        out[ends >= k, k] = inner.find(prefix.of(fits - k, fits))
+    return out
+
+
+def _log_sum(x: np.ndarray) -> float:
+    top = x.max()
+    return top + math.log(np.exp(x - top).sum()) if top > -np.inf else top
+
+
+def _first_pieces(word: bytes, path: str) -> np.ndarray:
+    """Numbers of the pieces that begin a word, by their end."""
+    begin = _lookups(path)[0]
+    e = np.arange(min(len(word), begin.longest) + 1)
+    return begin.find(Prefix(np.frombuffer(word[: begin.longest], np.uint8), 23).of(np.zeros_like(e), e))
+
+
+def long_forward(word: bytes, path: str, begin: np.ndarray, inner: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Window by window, the first end and ``forward``'s weights of a single word."""
+    first = _weights(_first_pieces(word, path), begin)
+    past = first[:1]
+    yield 0, past
+    for lo in range(0, len(word), LONG):
+        hi = min(lo + LONG, len(word))
+        arcs = _weights(_window(word, lo, hi, path), inner)
+        base = lo + 1 - len(past)
+        alpha = np.concatenate([past, np.full(hi - lo, -np.inf)])
+        for e in range(lo + 1, hi + 1):
+            k, at = min(e, arcs.shape[1] - 1), e - base
+            paths = alpha[at - k : at][::-1] + arcs[e - lo - 1, 1 : k + 1]
+            alpha[at] = _log_sum(np.append(paths, first[e]) if e < len(first) else paths)
+        yield lo + 1, alpha[len(past) :]
+        past = alpha[-(arcs.shape[1] - 1) :]
+
+
+def _long_counts(word: bytes, path: str, begin: np.ndarray, inner: np.ndarray, sums: tuple[np.ndarray, np.ndarray]) -> None:
+    """Add the expected uses of pieces in one long word."""
+    n = len(word)
+    alpha = np.concatenate([a for _, a in long_forward(word, path, begin, inner)])
+    total, after = alpha[n], np.zeros(1)  # weights from each end to the word's end, of the ends that follow
+    for lo in reversed(range(0, n, LONG)):
+        hi = min(lo + LONG, n)
+        most = _lookups(path)[1].longest
+        top = min(n, hi + most)
+        numbers = _window(word, lo, top, path)
+        arcs = _weights(numbers, inner)
+        beta = np.concatenate([np.full(hi - lo, -np.inf), after[: top - hi + 1]])  # of ends lo to top
+        for s in range(hi - 1, lo - 1, -1):
+            k = np.arange(1, min(n - s, most) + 1)
+            beta[s - lo] = _log_sum(beta[s - lo + k] + arcs[s - lo + k - 1, k])
+        for k in range(1, most + 1):
+            ends = np.arange(max(lo + 1, k), hi + 1)
+            at = numbers[ends - lo - 1, k]
+            ok = at >= 0
+            sums[1][:] += np.bincount(at[ok], np.exp(alpha[ends[ok] - k] + arcs[ends[ok] - lo - 1, k] + beta[ends[ok] - lo] - total), len(inner))
+        after = beta
+    first = _first_pieces(word, path)
+    ok = np.flatnonzero(first >= 0)
+    np.add.at(sums[0], first[ok], np.exp(begin[first[ok]] + after[ok] - total))
+
+
 def log_marginals(words: list[bytes], path: str, begin: np.ndarray, inner: np.ndarray) -> np.ndarray:
     """Natural log of each word's probability over all segmentations."""
     out = np.zeros(len(words))
+    for i, w in enumerate(words):
+        if len(w) > LONG:
+            for _, alpha in long_forward(w, path, begin, inner):
+                out[i] = alpha[-1]
     for at, n in _by_length(words):
         first, rest = _arcs(words, at, n, path)
         out[at] = forward(_weights(first, begin), _weights(rest, inner))[:, n]
@@ -134,6 +214,9 @@ def log_marginals(words: list[bytes], path: str, begin: np.ndarray, inner: np.nd
 def expected_counts(words: list[bytes], counts: np.ndarray, path: str, begin: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How often each piece is used, over all segmentations of all words."""
     sums = np.zeros(len(begin)), np.zeros(len(inner))
+    for w, times in zip(words, counts.tolist(), strict=True):
+        for _ in range(int(times) if len(w) > LONG else 0):
+            _long_counts(w, path, begin, inner, sums)
     for at, n in _by_length(words):
         first, rest = _arcs(words, at, n, path)
         w_first, w_rest = _weights(first, begin), _weights(rest, inner)
@@ -248,21 +331,21 @@ class Model:
 
 def _scored(model: Model, head, seed: int = 31):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, base, score, known = head.value
-        index = Index(names)
+        names, counts, lattice = head.value
+        index, columns = Index(names), (counts > 0, model.base_log(counts), model.word_log(counts, lattice), lattice / math.log(10))
         for batch in batches:
             uids = batch.column(0).to_numpy()
             n = batch.num_rows
-            sums = np.zeros((4, n))
+            sums = np.zeros((5, n))
             rare: list[list] = [[], [], []]
-            for lo, hi, data, off in slices(batch.column(1)):
+            for lo, hi, data, off in slices(batch.column(2)):
                 start, end = word_bounds(data, off)
                 own = lo + np.searchsorted(off, start, "right") - 1
                 mine = Prefix(data, seed, lower=True).of(start, end)
                 at = index.find(mine)
                 hit = at >= 0
                 sums[0] += np.bincount(own, minlength=n)
-                for k, column in ((1, known), (2, base), (3, score)):
+                for k, column in enumerate(columns, 1):
                     sums[k] += np.bincount(own[hit], column[at[hit]], n)
                 miss = np.flatnonzero(~hit)
                 if len(miss):
@@ -273,9 +356,9 @@ def _scored(model: Model, head, seed: int = 31):
                     rare[2] += times.tolist()
             k = len(rare[0])
             nothing = pa.nulls(k, pa.float64())
-            columns = [pa.array(np.concatenate([uids, np.array(rare[0], np.int64)])), pa.array([None] * n + rare[1], pa.binary()), pa.array(np.concatenate([sums[0].astype(np.int64), np.array(rare[2], np.int64)]))]
-            columns += [pa.chunked_array([pa.array(sums[r]), nothing]).combine_chunks() for r in (1, 2, 3)]
-            yield pa.RecordBatch.from_arrays(columns, names=["uid", "word", "n", "known", "base", "score"])
+            whole = [pa.array(np.concatenate([uids, np.array(rare[0], np.int64)])), pa.concat_arrays([batch.column(1), pa.nulls(k, pa.int64())]), pa.array([None] * n + rare[1], pa.binary()), pa.array(np.concatenate([sums[0].astype(np.int64), np.array(rare[2], np.int64)]))]
+            whole += [pa.concat_arrays([pa.array(sums[r]), nothing]) for r in (1, 2, 3, 4)]
+            yield pa.RecordBatch.from_arrays(whole, names=["uid", "doc_id", "word", "n", "known", "base", "score", "lattice"])
 
     return run
 
@@ -284,7 +367,7 @@ def _priced(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c, lattice = batch.column(1).to_numpy().astype(float), batch.column(3).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(model.base_log(c)), pa.array(model.word_log(c, lattice))], names=["word", "n", "n_all", "base", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(3), pa.array(model.base_log(c)), pa.array(model.word_log(c, lattice))], names=["word", "n", "n_all", "lattice", "base", "score"])
 
     return run
 
@@ -295,12 +378,13 @@ def counts_of(words: DataFrame) -> DataFrame:
 
 
 def lattice_scores(docs: DataFrame, vocabulary_path: str, training: str, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score, lattice_score.
 
     ``training`` names a boolean column: rows to learn from.  Words are maximal runs
     without space, tab or line ends, A-Z taken as a-z; each text ends with one end
     token.  Scores are log10 probabilities of whole texts: ``base_score`` of smoothed
-    word frequencies, ``score`` of the lattice model.  Null counts as empty text;
+    word frequencies, ``score`` of the lattice model, ``lattice_score`` of its
+    segmentations alone, without arcs for seen words.  Null counts as empty text;
     repeated rows are rows of their own; without training rows the lattice has its
     first weights only; an empty table gives an empty result; other columns are
     ignored.
@@ -314,15 +398,14 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, training: str, id_col:
     n_texts = texts.filter("training").count()
     model = Model(f[0] or 0, n_texts, f[1] or 0, f[2] or 0, f[3] or 0)
     _, _, begin, inner = vocabulary(vocabulary_path)
-    # The first weights stay as a prior of a hundred uses.
-    prior, split = 100.0 * np.exp(np.concatenate([begin, inner])), len(begin)
+    prior, split = PRIOR * np.exp(np.concatenate([begin, inner])), len(begin)
     for _ in range(ROUNDS if model.words else 0):
         uses = prior.copy()
         # At most one row for each piece of the fixed vocabulary.
         for r in counts.filter("n > 0").select("word").mapInArrow(_expected(vocabulary_path, begin, inner), "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
             uses[r["piece"]] += r["uses"]
         begin, inner = np.split(np.log(uses / uses.sum()), [split])
-    priced = cut(counts.mapInArrow(_marginal(vocabulary_path, begin, inner), "word binary, n long, n_all long, lattice double").mapInArrow(_priced(model), "word binary, n long, n_all long, base double, score double"), "priced")
+    priced = cut(counts.mapInArrow(_marginal(vocabulary_path, begin, inner), "word binary, n long, n_all long, lattice double").mapInArrow(_priced(model), "word binary, n long, n_all long, lattice double, base double, score double"), "priced")
     release(counts)
     # How often a word must occur to be among the head; the histogram has at most 100,000 rows.
     often = sorted((r[0], r[1]) for r in counts_of(priced).collect())
@@ -336,18 +419,19 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, training: str, id_col:
     words = top["word"].combine_chunks() if top.num_rows else pa.array([], pa.binary())
     off = np.concatenate([[0], np.cumsum([len(w.as_buffer()) for w in words])]).astype(np.int64)
     names = Prefix(np.frombuffer(b"".join(words.to_pylist()), np.uint8), 31, lower=True).of(off[:-1], off[1:])
-    head = spark.sparkContext.broadcast((names, top["base"].to_numpy(), top["score"].to_numpy(), (top["n"].to_numpy() > 0).astype(float)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("uid"))
-    scored = cut(rows.select("uid", "text").mapInArrow(_scored(model, head), "uid long, word binary, n long, known double, base double, score double"), "scored")
-    rare = scored.filter("word is not null").select("uid", "word", F.col("n").alias("times")).join(priced, "word")
-    rare = rare.groupBy("uid").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known_2"), F.sum(F.col("base") * F.col("times")).alias("base_2"), F.sum(F.col("score") * F.col("times")).alias("score_2"))
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"))
-    out = scored.filter("word is null").join(rare, "uid", "left").join(ids, "uid")
-    known = (F.col("known") + F.coalesce("known_2", F.lit(0))).cast("long") + F.lit(int(model.texts > 0))
+    head = spark.sparkContext.broadcast((names, top["n"].to_numpy().astype(float), top["lattice"].to_numpy()))
+    # The row's number comes with its id: drawn again, it might be another row's.
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    scored = cut(rows.mapInArrow(_scored(model, head), "uid long, doc_id long, word binary, n long, known double, base double, score double, lattice double"), "scored")
+    rare = scored.filter("word is not null").select("uid", "word", F.col("n").alias("times")).join(priced.withColumn("lattice", F.col("lattice") / math.log(10)), "word")
+    more = [F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known_2"), *[F.sum(F.col(c) * F.col("times")).alias(f"{c}_2") for c in ("base", "score", "lattice")]]
+    out = scored.filter("word is null").join(rare.groupBy("uid").agg(*more), "uid", "left")
+    whole = lambda c: F.col(c) + F.coalesce(F.col(f"{c}_2"), F.lit(0.0))
+    known = whole("known").cast("long") + F.lit(int(model.texts > 0))
     return out.select(
         "doc_id", (F.col("n") + 1).alias("n_tokens"), known.alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_2", F.lit(0.0)) + F.lit(model.base_end)).alias("base_score"),
-        (F.col("score") + F.coalesce("score_2", F.lit(0.0)) + F.lit(model.end)).alias("score"),
+        (whole("base") + F.lit(model.base_end)).alias("base_score"), (whole("score") + F.lit(model.end)).alias("score"),
+        (whole("lattice") + F.col("n") * F.lit(model.on) + F.lit(model.end)).alias("lattice_score"),
     )
 
 
@@ -357,4 +441,4 @@ def op2_lattice_scores(spark, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("held_out", is_held_out("doc_id", 10))
     scores = lattice_scores(docs.withColumn("training", ~F.col("held_out")), public_tokenizers.path("piece_bpe_32k.model"), "training")
-    return scores.select("doc_id", is_held_out("doc_id", 10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scores.select("doc_id", is_held_out("doc_id", 10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")

@@ -244,6 +244,76 @@ def test_lattice_sums_over_all_segmentations():
     assert math.isclose(np.exp(lb).sum() + np.exp(li).sum(), 1.0)
 
 
+def test_long_words_are_worked_on_in_windows(monkeypatch):
+    _, _, begin, inner = lattice.vocabulary(PIECES)
+    rng = random.Random(2)
+    words = [bytes(rng.choice(b"abcdetion \xc3\xa9") for _ in range(n)) for n in (1, 22, 23, 24, 63, 64, 65, 128, 300)]
+    want, used = lattice.log_marginals(words, PIECES, begin, inner), lattice.expected_counts(words, np.ones(len(words)), PIECES, begin, inner)
+    for most in (64, 1, 30):
+        monkeypatch.setattr(lattice, "LONG", most)
+        assert np.allclose(lattice.log_marginals(words, PIECES, begin, inner), want)
+        got = lattice.expected_counts(words, np.ones(len(words)), PIECES, begin, inner)
+        assert np.allclose(got[0], used[0]) and np.allclose(got[1], used[1])
+
+
+def plain_lattice_model(texts, training):
+    """Every segmentation of every word spelled out; the whole model over again in plain Python."""
+    begin, inner, lb, li = lattice.vocabulary(PIECES)
+    weight = ({p: math.exp(x) for p, x in zip(begin, lb, strict=True)}, {p: math.exp(x) for p, x in zip(inner, li, strict=True)})
+    prior = [{p: lattice.PRIOR * x for p, x in w.items()} for w in weight]
+
+    def ways(word, first=True):
+        table = weight[0] if first else weight[1]
+        if not first and not word:
+            yield (), 1.0
+            return
+        for k in range(0 if first else 1, len(word) + 1):
+            if word[:k] in table:
+                for rest, x in ways(word[k:], False):
+                    yield (word[:k], *rest), x * table[word[:k]]
+
+    words = [t.encode().translate(lattice._LOWER).split() for t in texts]
+    seen = Counter(w for ws, t in zip(words, training, strict=True) if t for w in ws)
+    for _ in range(lattice.ROUNDS):
+        uses = [Counter(p) for p in prior]
+        for w in seen:
+            every = list(ways(w))
+            total = sum(x for _, x in every)
+            for pieces, x in every:
+                uses[0][pieces[0]] += x / total
+                for p in pieces[1:]:
+                    uses[1][p] += x / total
+        total = sum(sum(u.values()) for u in uses)
+        weight = tuple({p: x / total for p, x in u.items()} for u in uses)
+    n, texts_n = sum(seen.values()), sum(training)
+    times = Counter(seen.values())
+    d = times[1] / (times[1] + 2 * times[2])
+    end = (texts_n + 0.5) / (n + texts_n + 1)
+    for ws in words:
+        both = [math.log10(end)] * 2
+        for w in ws:
+            marginal = sum(x for _, x in ways(w))
+            both[0] += math.log10(1 - end) + math.log10(max(0, seen[w] - d) / n + d * len(seen) / n * marginal)
+            both[1] += math.log10(1 - end) + math.log10(marginal)
+        yield both
+
+
+@pytest.mark.parametrize("head", [0, 3, 500_000])
+def test_lattice_scores_of_whole_texts_match_brute_force(spark, head):
+    texts = ["the cat sat", "The dog sat sat", "", "a station", "unseen été cat", "the the cats\nThe", "dog"]
+    training = [True, True, True, True, False, False, True]
+    want = list(plain_lattice_model(texts, training))
+    docs = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(zip(texts, training, strict=True))], "doc_id long, text string, training boolean")
+    out = {r["doc_id"]: (r["score"], r["lattice_score"]) for r in lattice.lattice_scores(docs, PIECES, "training", head_words=head).collect()}
+    assert np.allclose([out[i] for i in range(len(texts))], want, atol=1e-8)
+
+
+def test_lattice_scores_stay_with_their_rows(spark, odd):
+    docs = frame(spark, odd).filter("doc_id is not null").dropDuplicates(["doc_id"]).selectExpr("*", "true AS training")
+    run = lambda df: {r["doc_id"]: (r["n_tokens"], round(r["score"], 6)) for r in lattice.lattice_scores(df, PIECES, "training").collect()}
+    assert run(docs.repartition(7)) == run(docs)
+
+
 @pytest.mark.parametrize("head", [0, 20, 500_000])
 def test_lattice_base_scores_match_brute_force(spark, odd, head):
     rows = [(i, t, "en" if k % 4 else "held") for k, (i, t) in enumerate(odd)]
