@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import bound_batches, cut
 from .components import connected_components
 from .vectors import matrix, unpack, usable
 
 THRESHOLD = 0.9
 LINKS, BUILD_BEAM, BEAM = 12, 48, 24
 SHARD_ROWS, MIN_SHARDS, QUERY_ROWS = 32_768, 4, 512
+TASKS, TASK_BLOCKS = 8, 256  # a shard's tasks at least, as far as there are blocks, and blocks of queries in each at most
 AUDITS, RECALL = 256, 0.995
 _WIDE = 4  # vectors expanded at once for each query
 
@@ -215,6 +216,7 @@ def _built(threshold: float):
     return run
 
 
+_SHARD = ["ids", "copies", "vectors", "n", "d", "space", "order", "sizes", "links", "beam"]
 _INDEX = "shard int, ids binary, copies binary, vectors binary, n int, d int, space binary, order binary, sizes array<long>, links binary, beam int"
 
 
@@ -269,24 +271,39 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+class _Opened:
+    """A shard's graph and vectors, decoded once for all blocks of queries that follow it."""
+
+    def __init__(self, row: dict[str, pa.Scalar]):
+        self.ids, self.rows = unpack(row["ids"], row["vectors"], row["n"].as_py(), row["d"].as_py())
+        self.copies, self.beam = np.frombuffer(row["copies"].as_buffer(), np.int64), row["beam"].as_py()
+        self.graph = Graph.from_columns(row["space"].as_buffer(), row["order"].as_buffer(), row["sizes"].as_py(), row["links"].as_buffer(), row["d"].as_py())
+
+    def links(self, q_ids: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        d = queries.shape[1]
+        if d > self.rows.shape[1]:
+            self.rows, self.graph.space = (np.pad(x, ((0, 0), (0, d - x.shape[1]))) for x in (self.rows, self.graph.space))
+        queries = np.pad(queries, ((0, 0), (0, self.rows.shape[1] - d)))
+        return links_to(self.graph, self.ids, self.rows, self.beam, q_ids, queries, threshold)
+
+
 def _linked(threshold: float):
+    """Rows in order, each shard's graph before its blocks of queries, to links."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
         for batch in batches:
             ends: list[list] = [[], [], []]
             for r in range(batch.num_rows):
                 v = {name: batch.column(k)[r] for k, name in enumerate(batch.schema.names)}
+                if v["ids"].is_valid:
+                    shard = _Opened(v)
+                    continue
                 q_ids, queries = unpack(v["q_ids"], v["q_vectors"], v["q_n"].as_py(), v["q_d"].as_py())
-                ids, rows = unpack(v["ids"], v["vectors"], v["n"].as_py(), v["d"].as_py())
-                if queries.shape[1] != rows.shape[1]:
-                    d = max(queries.shape[1], rows.shape[1])
-                    queries, rows = (np.pad(x, ((0, 0), (0, d - x.shape[1]))) for x in (queries, rows))
-                graph = Graph.from_columns(v["space"].as_buffer(), v["order"].as_buffer(), v["sizes"].as_py(), v["links"].as_buffer(), v["d"].as_py())
-                if graph.space.shape[1] < rows.shape[1]:
-                    graph.space = np.pad(graph.space, ((0, 0), (0, rows.shape[1] - graph.space.shape[1])))
-                i, j = links_to(graph, ids, rows, v["beam"].as_py(), q_ids, queries, threshold)
-                count = np.bincount(i, np.frombuffer(v["copies"].as_buffer(), np.int64)[j], len(q_ids)).astype(np.int64)
+                i, j = shard.links(q_ids, queries, threshold)
+                count = np.bincount(i, shard.copies[j], len(q_ids)).astype(np.int64)
                 some = np.flatnonzero(count)
-                joins = _forest(q_ids[i], ids[j])
+                joins = _forest(q_ids[i], shard.ids[j])
                 ends[0] += q_ids[some].tolist() + [x for x, _ in joins]
                 ends[1] += [None] * len(some) + [y for _, y in joins]
                 ends[2] += count[some].tolist() + [0] * len(joins)
@@ -306,17 +323,23 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col
     counts as ending with zeros.  Rows that share an id are one node, whatever
     their vectors.  An empty table gives an empty result.
     """
+    bound_batches(rows.sparkSession, rows=2000)
     good = usable(rows, id_col, vector_col).filter(F.exists("vector", lambda x: x != 0))
     good = cut(good.withColumn("key", F.to_json(F.transform("vector", lambda x: x + F.lit(0.0)))).withColumn("key", F.sha2("key", 256)), "usable")
     classes = cut(good.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")), "classes")
     shards = max(MIN_SHARDS, -(-classes.count() // SHARD_ROWS))
     dealt = classes.select(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.col("rep").alias("id"), "copies", "vector")
-    index = cut(dealt.groupBy("shard").applyInArrow(_built(threshold), _INDEX), "index")
-    blocks = cut(classes.select("rep", "vector").mapInArrow(_blocks, "ids binary, vectors binary, n int, d int").withColumn("salt", F.monotonically_increasing_id()), "queries")
-    salts = max(1, min(8, blocks.count()))
-    left = blocks.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "n", "d")], F.pmod(F.xxhash64("salt"), F.lit(salts)).alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    right = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    met = left.join(right, ["shard", "salt"]).drop("shard", "salt")
+    # By range, so that no two shards meet in a task.
+    index = cut(dealt.repartitionByRange(shards, "shard").groupBy("shard").applyInArrow(_built(threshold), _INDEX), "index")
+    blocks = cut(classes.select("rep", "vector").mapInArrow(_blocks, "ids binary, vectors binary, n int, d int").withColumn("no", F.monotonically_increasing_id()), "queries")
+    n_blocks = blocks.count()
+    tasks = max(1, min(TASKS, n_blocks), -(-n_blocks // TASK_BLOCKS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = blocks.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "n", "d")], F.pmod(F.xxhash64("no"), F.lit(tasks)).cast("int").alias("task"), every(shards).alias("shard"))
+    opened = index.select("shard", *_SHARD, every(tasks).alias("task"))
+    # Each task gets its shard's graph once and the blocks of queries behind it.
+    met = opened.unionByName(asked, allowMissingColumns=True).withColumn("slot", F.col("shard") * tasks + F.col("task"))
+    met = met.repartitionByRange(shards * tasks, "slot").sortWithinPartitions("slot", F.col("ids").isNull()).drop("shard", "task", "slot")
     found = cut(met.mapInArrow(_linked(threshold), "a long, b long, n long"), "links")
     labels = cut(connected_components(found.filter("b is not null").select("a", "b")), "labels")
     counts = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("n"))
@@ -335,11 +358,24 @@ def op10_near_vectors(spark, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def with_near_copies(rows: DataFrame) -> DataFrame:
+    """(vec_id, embedding): all rows and, of every fourth, two longer copies that are turned a little."""
+    turned = lambda k: F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x * (1 + k) + (F.pmod(i * 7 + k, F.lit(5)) - 2) * 0.01)
+    whole = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    chosen = rows.filter("vec_id % 4 = 0")
+    return whole.unionByName(chosen.select((-F.col("vec_id") * 2 - 1).alias("vec_id"), turned(1).alias("embedding"))).unionByName(chosen.select((-F.col("vec_id") * 2 - 2).alias("vec_id"), turned(2).alias("embedding")))
+
+
+def near_vectors_planted(spark, sf_dir: str) -> DataFrame:
+    """The same over ``embeddings`` with near copies of every fourth, as the table itself may hold no links."""
+    return near_duplicate_vectors(with_near_copies(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")))
+
+
 #: The definition itself, by brute force.
-OP10_SQL = """
-WITH RECURSIVE v AS (
+_SQL = """
+v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
-    vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings
+    vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM SOURCE
 ), l AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.ok AND b.ok AND list_cosine_similarity(a.e, b.e) >= 0.9
 ), r AS (
@@ -352,3 +388,10 @@ WITH RECURSIVE v AS (
 SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
 FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
+OP10_SQL = f"WITH RECURSIVE {_SQL.replace('SOURCE', 'embeddings')}"
+_TURNED = "list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * (1 + {0}) + (((i - 1) * 7 + {0}) % 5 - 2) * 0.01)"
+PLANTED_SQL = f"""WITH RECURSIVE planted AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings UNION ALL
+  SELECT -vec_id * 2 - 1, {_TURNED.format(1)} FROM embeddings WHERE vec_id % 4 = 0 UNION ALL
+  SELECT -vec_id * 2 - 2, {_TURNED.format(2)} FROM embeddings WHERE vec_id % 4 = 0
+), {_SQL.replace("SOURCE", "planted")}"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP3_SQL, op3_format_chat
-from .hnsw import OP10_SQL, op10_near_vectors
+from .hnsw import OP10_SQL, PLANTED_SQL, near_vectors_planted, op10_near_vectors
 from .langid import op5_language
 from .lattice import op2_lattice_scores
 from .maxscore import OP1_SQL, op1_top_k
@@ -28,10 +28,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_encode_dropout": op9_encode_dropout,
     "op10_near_vectors": op10_near_vectors,
+    "near_vectors_planted": near_vectors_planted,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_top_k": OP1_SQL,
     "op3_format_chat": OP3_SQL,
     "op10_near_vectors": OP10_SQL,
+    "near_vectors_planted": PLANTED_SQL,
 }
