@@ -138,7 +138,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(kept, pa.int64())).select([0, 1])
 
 
-BLOCK_BYTES = 1 << 18
+BLOCK_BYTES, LANES = 1 << 18, 64
 
 
 def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,11 +206,22 @@ def _missed_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> Dat
     chained = left.select("key", "doc_id").join(mixed, "key").select("doc_id", "first").distinct()
     groups = connected_components(chained)
     grouped = cut(able.join(groups, able.doc_id == groups.node).select("doc_id", able.component, "members", "n", groups.component.alias("grp")), "grouped")
-    by_size = Window.partitionBy("grp").orderBy("n", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    block = grouped.select("doc_id", "grp", F.floor(F.sum("n").over(by_size) * 8 / BLOCK_BYTES).alias("block"))
-    packed = cut(grouped.join(block, ["doc_id", "grp"]).groupBy("grp", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.collect_list(F.struct("doc_id", "component", "members")).alias("texts")), "blocks")
-    other = packed.select("grp", *[F.col(c).alias(f"{c}_2") for c in ("block", "least", "most", "texts")])
-    pairs = packed.join(other, "grp").filter(f"block <= block_2 and 100 * most >= {PERCENT} * least_2").select("texts", "texts_2")
+    # Blocks of like sizes, cut by the counts of each size: a group's texts never meet in one task.
+    sizes = grouped.groupBy("grp", "n").agg(F.count(F.lit(1)).alias("m"))
+    before = Window.partitionBy("grp").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    bytes_ = F.col("m") * F.col("n") * 8
+    sizes = sizes.select("grp", "n", F.floor(F.coalesce(F.sum(bytes_).over(before), F.lit(0)) / BLOCK_BYTES).alias("block"), F.ceil(bytes_ / BLOCK_BYTES).alias("parts"))
+    part = F.when(F.col("parts") == 1, -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    dealt = grouped.join(sizes, ["grp", "n"]).select("grp", "block", F.when(F.col("parts") > 1, F.col("n")).otherwise(0).alias("size"), part.alias("part"), "doc_id", "component", "members", "n")
+    packed = dealt.groupBy("grp", "block", "size", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.collect_list(F.struct("doc_id", "component", "members")).alias("texts"))
+    packed = cut(packed.select("grp", F.xxhash64("grp", "block", "size", "part").alias("block"), "least", "most", "texts"), "blocks")
+    # Blocks of a large group are dealt to lanes and meet all lanes, so that its pairs don't share a key.
+    lanes = packed.groupBy("grp").agg(F.least(F.lit(LANES), F.ceil(F.count(F.lit(1)) / 8)).cast("int").alias("lanes"))
+    packed = packed.join(lanes, "grp")
+    one = packed.withColumn("lane", F.pmod("block", "lanes").cast("int")).drop("lanes")
+    other = packed.select("grp", *[F.col(c).alias(f"{c}_2") for c in ("block", "least", "most", "texts")], F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"))
+    close = f"block <= block_2 and 100 * most >= {PERCENT} * least_2 and 100 * most_2 >= {PERCENT} * least"
+    pairs = one.join(other, ["grp", "lane"]).filter(close).select("texts", "texts_2")
     return pairs.mapInArrow(_cross_links, "a long, b long")
 
 

@@ -359,3 +359,9 @@ def test_profiles_are_bound_and_bundled():
     assert dict(zip(code.tolist(), count.tolist(), strict=True)) == {pack(0, a, b): 2, pack(a, b, 0): 2, pack(b, 0, a): 1, pack(b, 0, c): 1, pack(0, c, 0): 1}
     vector = langid.profiles(row, code, count, 1)[0]
     assert np.array_equal(vector, sum(n * langid.trigram_vectors(np.array([k]))[0] for k, n in zip(code, count, strict=True)))
+
+
+def test_blocks_of_a_group_meet_in_every_pair(spark, monkeypatch):
+    """With tiny blocks a group has many of them, and of one size several."""
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 3000)
+    test_large_group_of_near_copies_is_joined_without_its_hub(spark)
