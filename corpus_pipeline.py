@@ -32,10 +32,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id; rows without an id stay."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    rows = docs.filter(F.col("doc_id").isNotNull()).join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.filter(F.col("doc_id").isNull())).select(*COLUMNS)
+    """One document of each group of near-duplicates, that with the smallest id; rows without an id stay.
+
+    Rows that share an id but not the text are documents of their own (and take
+    part under a hash of both); rows that share both are one.
+    """
+    shared = cut(docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"), F.count("text").alias("n"), F.count(F.lit(1)).alias("m")), "ids")
+    shared = shared.filter("doc_id is not null and (lo <> hi or n not in (0, m))").select("doc_id", F.lit(True).alias("shared"))
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(*COLUMNS, F.col("doc_id").alias("node"))
+    if shared.limit(1).count():
+        rows = rows.join(shared, "doc_id", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")))
+        rows = cut(rows.select(*COLUMNS, "node"), "nodes")
+    kept = minhash.near_duplicates(rows, id_col="node").filter("kept").select(F.col("doc_id").alias("node")).distinct()
+    rows = rows.join(kept.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    return rows.select(*COLUMNS).unionByName(docs.filter(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
