@@ -198,6 +198,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert len({r["sequence_id"] for r in out}) == 1 and len(out) == 5
 
 
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    own = [" ".join(f"{w}{i}" for i in range(40)) for w in ("a", "b", "c")]
+    rows = [(1, own[0]), (1, own[1]), (1, own[1]), (2, own[0] + " more"), (3, own[2]), (4, None), (4, ""), (5, None), (5, None), (None, own[2]), (None, own[2])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert out.pop((1, own[0]), 0) + out.pop((2, own[0] + " more"), 0) == 1
+    assert out == Counter({(1, own[1]): 1, (3, own[2]): 1, (4, None): 1, (4, ""): 1, (5, None): 1, (None, own[2]): 2})
+
+
 def test_pipeline_without_labels_keeps_texts_with_letters(spark):
     rows = [(1, "clean words", None, "s", 1), (2, "é", None, "s", 1), (3, "123 $$", None, "s", 1), (4, None, "en", "s", 1), (5, "", None, "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
