@@ -36,7 +36,7 @@ from .worker import claim
 LENGTH, GRAM, RANGE = 400, 160, 24
 #: A passage of this many words is repeated if it stands twice; bytes of a word's name.
 WORDS, NAME = 51, 8
-SEGMENT = 1 << 22
+SEGMENT = 1 << 20
 _INDEX_BITS = U64((1 << 24) - 1)
 
 
@@ -180,14 +180,19 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return done, refine
 
 
-def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, hash, first, last): starts of repeated strings, as ranges, of texts (id, hash, text)."""
-    raw = cut(keyed.mapInArrow(_anchored(length, gram), _ANCHORS), "anchors")
+def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, as_words: bool = False) -> DataFrame:
+    """(id, hash, first, last): starts of repeated strings, as ranges, of texts (id, hash, text).
+
+    With ``as_words`` the strings are those of the names of the texts' words.
+    """
+    # One Python function a stage: each would have a worker of its own.
+    anchored, contexts_of = _anchored(length, gram), _contexts(length)
+    raw = cut(keyed.mapInArrow((lambda batches: anchored(_named(batches))) if as_words else anchored, _ANCHORS), "anchors")
     round0, refine = _settle(raw)
     release(raw)
     refine = refine.groupBy("id", "hash").agg(F.collect_list(F.struct("first", "last", "at")).alias("open"))
     texts = keyed.join(refine, ["id", "hash"]).select("id", "hash", F.col("text").cast("binary").alias("text"), "open")
-    contexts = cut(texts.mapInArrow(_contexts(length), "id long, hash long, first long, last long, at long, bytes binary"), "contexts")
+    contexts = cut(texts.mapInArrow((lambda batches: contexts_of(_named(batches))) if as_words else contexts_of, "id long, hash long, first long, last long, at long, bytes binary"), "contexts")
     round1, refine = _settle(contexts.mapInArrow(_ranged(length, length - gram + 1), _ANCHORS))
     ranges = refine.groupBy("id", "hash", "at").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     left = contexts.join(ranges, ["id", "hash", "at"]).select("id", "hash", "first", "bytes", "ranges")
@@ -283,7 +288,7 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum(np.concatenate(sizes)) if sizes else np.zeros(0, np.int64)
         offsets = np.r_[0, ends].astype(np.int64) * NAME
         words = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(names)]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words], names=["id", "hash", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words, *batch.columns[3:]], names=["id", "hash", "text", *batch.schema.names[3:]])
 
 
 def _without_passages(words: int):
@@ -321,9 +326,8 @@ def remove_passages(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     inner = docs.select([docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(carried)])
     text = F.coalesce(F.col(f"_c{carried.index(text_col)}").cast("string"), F.lit(""))
     inner = inner.withColumn("text", text).withColumn("id", F.coalesce(F.col(f"_c{carried.index(id_col)}").cast("long"), F.lit(-1))).withColumn("hash", F.xxhash64("text"))
-    named = inner.select("id", "hash", "text").mapInArrow(_named, "id long, hash long, text binary")
     length = NAME * words
-    spans = repeated_spans(named, length, min(GRAM, length)).groupBy("id", "hash").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    spans = repeated_spans(inner.select("id", "hash", "text"), length, min(GRAM, length), as_words=True).groupBy("id", "hash").agg(F.collect_list(F.struct("first", "last")).alias("found"))
     columns = [c for c in inner.columns if c.startswith("_c")]
     joined = inner.join(spans, ["id", "hash"], "left").select(F.col("text").cast("binary").alias("text"), "found", *columns)
     schema = ", ".join(["kept_text string", *[f"{c} {joined.schema[c].dataType.simpleString()}" for c in columns]])
