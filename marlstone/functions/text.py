@@ -20,9 +20,12 @@ PATH = EDGE + r"([0-9A-Za-z_.-]+/[0-9A-Za-z_./-]+|[0-9A-Za-z_]+\.(?:go|js|ts|md|
 NUMBER = r"([$€£][\t\n\f\r ]?[0-9][0-9,]*(?:\.[0-9]+)?|" + EDGE + r"[0-9][0-9,]*(?:\.[0-9]+)?[\t\n\f\r ]?(?:%|ms|s|kb|mb|gb|tb|px|em|rem)" + EDGE + ")"
 #: Words that are capitalised only because they begin a sentence.
 STARTERS = (
-    "the a an this that these those it we i you they he she there here if when while for and but or so in on at to from by with "
-    "without as is are was were be been no not yes note however because since after before once then also both"
-).split()
+    "the", "a", "an", "this", "that", "these", "those", "it", "we", "i", "you", "they", "he", "she", "there", "here", "if", "when", "while", "for",
+    "and", "but", "or", "so", "in", "on", "at", "to", "from", "by", "with", "without", "as", "is", "are", "was", "were", "be", "been", "no", "not",
+    "yes", "note", "however", "because", "since", "after", "before", "once", "then", "also", "both",
+)
+#: Fixed value: a line that begins or ends a block of code.
+FENCE = r"(?m)^[^\S\n]*(?:`{3,}[^`\n]*|~{3,}[^\n]*)$"
 
 
 def trimmed(x: Column) -> Column:
@@ -79,16 +82,28 @@ def query_ngrams(text: Column, most: int = 4) -> Column:
     return F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, most + 1)])))
 
 
+def without_code(text: Column) -> Column:
+    """The text without fenced blocks and with code spans blanked; a span ends with its line at the latest.
+
+    What fence lines part is outside and inside code in turn, and so is what
+    backticks part in a line.
+    """
+    outside = F.array_join(F.filter(F.split(text, FENCE, -1), lambda p, i: i % 2 == 0), "\n")
+    blank = lambda line: F.array_join(F.transform(F.split(line, "`", -1), lambda p, i: F.when(i % 2 == 1, F.repeat(F.lit(" "), F.length(p))).otherwise(p)), " ")
+    return F.when(F.contains(text, F.lit("`")) | F.contains(text, F.lit("~~~")), F.array_join(F.transform(F.split(outside, "\n", -1), blank), "\n")).otherwise(text)
+
+
 def proper_nouns(text: Column) -> Column:
     """Capitalised phrases without a leading article, lone sentence starters and short capitals."""
     found = F.transform(F.regexp_extract_all(text, F.lit(PROPER), F.lit(1)), lambda v: F.regexp_replace(v, r"^(?:The|A|An) [ \t]*", ""))
-    lone = lambda v: ~F.contains(v, F.lit(" ")) & F.lower(v).isin(STARTERS)
+    lone = lambda v: ~F.contains(v, F.lit(" ")) & F.lower(v).isin(*STARTERS)
     short = lambda v: (F.octet_length(v) < 3) & (v == F.upper(v))
     return F.filter(found, lambda v: (v != "") & ~lone(v) & ~short(v) & (F.octet_length(v) <= MAX_ENTITY))
 
 
 def entity_array(t: Column) -> Column:
-    """Every heuristic entity of a text as (kind, value), lower-case, repeats included."""
+    """Every heuristic entity of a text, code left out, as (kind, value), lower-case, repeats included."""
+    t = without_code(t)
     of = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), F.lower(F.trim(v)).alias("value")))
     every = F.concat(
         of("date", F.regexp_extract_all(t, F.lit(ISO_DATE), F.lit(1))), of("date", F.regexp_extract_all(t, F.lit(WRITTEN_DATE), F.lit(1))),

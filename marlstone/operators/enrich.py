@@ -14,8 +14,8 @@ MAX_VALUE, MAX_PER_SOURCE, BATCH = 96, 60, 25
 
 
 def pending(sources: DataFrame, links: DataFrame, limit: int = BATCH) -> DataFrame:
-    """Sources that wait for the extractor, most linked first, then longest, newest, by name."""
-    linked = links.groupBy(F.col("to_ref").alias("source_ref")).agg(F.countDistinct("from_ref").alias("n_links"))
+    """Sources that wait for the extractor: those that link to most others first, then longest, newest, by name."""
+    linked = links.groupBy(F.col("from_ref").alias("source_ref")).agg(F.countDistinct("to_ref").alias("n_links"))
     waiting = sources.filter(F.coalesce("entity_pass", F.lit("pending")) == "pending").join(linked, "source_ref", "left")
     return waiting.withColumn("n_links", F.coalesce("n_links", F.lit(0))).orderBy(F.desc("n_links"), F.desc("token_count"), F.desc("ingested_at"), "source_ref").limit(limit)
 

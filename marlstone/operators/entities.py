@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import entities, query_ngrams
+from ..functions.text import entities, entity_array, query_ngrams
 
 #: An entity is rare up to this many rows; a row keeps this many entity edges.
 RARE, PER_ROW = 12, 12
@@ -45,9 +45,10 @@ def entity_edges(links: DataFrame, n_rows: DataFrame, id_col: str = "doc_id", so
 
 
 def query_entities(query: DataFrame, known: DataFrame) -> DataFrame:
-    """Distinct values that a query names: its n-grams that the dictionary knows."""
+    """Distinct values that a query names: its heuristic entities and those of its n-grams that the dictionary knows."""
     grams = query.select(F.explode(query_ngrams(F.col("text"))).alias("value"))
-    return known.select("value").distinct().join(F.broadcast(grams.distinct()), "value", "left_semi")
+    told = query.select(F.explode(F.transform(entity_array(F.col("text")), lambda e: e["value"])).alias("value"))
+    return known.select("value").join(F.broadcast(grams.distinct()), "value", "left_semi").unionByName(told).distinct()
 
 
 def entity_jaccard(links: DataFrame, values: DataFrame, id_col: str = "doc_id") -> DataFrame:

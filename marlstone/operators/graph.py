@@ -10,6 +10,7 @@ from ..plans.lineage import cut
 #: What a step along each kind of edge leaves of a score; other kinds are ignored.
 DECAY = {"link": 0.6, "next": 0.5, "prev": 0.5, "similar": 0.4, "link_inferred": 0.35, "entity": 0.3}
 BOTH_WAYS = ("link", "link_inferred")
+INFERRED, UNSURE = 0.8, 0.85  # weights of an inferred link and of one whose place isn't certain
 MAX_DEPTH, MAX_SEEDS, MAX_FRONTIER, MAX_VISITED, LEAST_SCORE, CO_ARRIVAL = 2, 10, 30, 200, 1e-4, 0.25
 
 
@@ -78,24 +79,34 @@ def resolve_links(links: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def link_edges(links: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(src, dst, weight): chunk of each resolved link to the chunk it means.
-
-    ``links``: from_ref, to_ref, heading, raw; ``chunks``: chunk_id, ref, ord, text,
-    heading_path. The edge leaves the first chunk that holds the link as written,
-    else the first; it ends at the first chunk under the heading (whole path or its
-    last part, else a part of it), else at the first. A heading that is found
-    weighs 1, everything else 0.85; edges to themselves are dropped.
+    """(src, dst, kind, weight): chunks of each resolved link to the chunk it means.
+
+    ``links``: from_ref, to_ref, heading, raw, embed, kind (``link`` where null), pos
+    (its place among the links); ``chunks``: chunk_id, ref, ord, text, heading_path.
+    An edge leaves every chunk that holds the link as written, or the first if none
+    does; it ends at the first chunk under the heading (whole path or its last part,
+    else a part of it), else at the first. A heading that is found and an embedded
+    note weigh 1, everything else 0.85, inferred links 0.8 under a kind of their
+    own. Edges to themselves are dropped; of several between two chunks the first
+    link's stays. Links to or from notes without chunks give nothing.
     """
+    kind = F.when(F.col("kind") == "link_inferred", "link_inferred").otherwise("link")
+    links = links.select("from_ref", "to_ref", F.trim(F.coalesce("heading", F.lit(""))).alias("heading"), F.coalesce("raw", F.lit("")).alias("raw"), F.coalesce("embed", F.lit(False)).alias("embed"), kind.alias("kind"), "pos")
+    keys = ["from_ref", "to_ref", "heading", "raw", "embed", "kind"]
+    links = links.groupBy(*keys).agg(F.min("pos").alias("pos"))  # written twice in a note, it is one assertion
     c = chunks.select("chunk_id", "ref", "ord", "text", "heading_path")
-    src = links.join(c, links.from_ref == c.ref).withColumn("held", F.contains("text", "raw").cast("int"))
-    keys = ["from_ref", "to_ref", "heading", "raw"]
-    src = src.groupBy(*keys).agg(F.min_by("chunk_id", F.struct(-F.col("held"), F.col("ord"))).alias("src"))
-    path, want = F.lower(F.coalesce("heading_path", F.lit(""))), F.lower(F.coalesce("heading", F.lit("")))
+    firsts = c.groupBy("ref").agg(F.min_by("chunk_id", "ord").alias("first"))
+    held = F.contains("text", "raw") & (F.trim("raw") != "")
+    holding = links.join(c, links.from_ref == c.ref).filter(held).select(*keys, "pos", F.col("chunk_id").alias("src"))
+    other = links.join(holding.select(*keys), keys, "left_anti").join(firsts, F.col("from_ref") == F.col("ref")).select(*keys, "pos", F.col("first").alias("src"))
+    src = holding.unionByName(other)
+    path, want = F.lower(F.coalesce("heading_path", F.lit(""))), F.lower(F.col("heading"))
     match = F.when(want == "", 3).when((path == want) | F.endswith(path, F.concat(F.lit(" › "), want)), 0).when(F.contains(path, want), 1).otherwise(3)
     dst = links.join(c, links.to_ref == c.ref).withColumn("match", match)
     dst = dst.groupBy(*keys).agg(F.min_by(F.struct("chunk_id", "match"), F.struct("match", "ord")).alias("d"))
-    out = src.join(dst, [src[k].eqNullSafe(dst[k]) for k in keys]).select(src.src.alias("src"), dst.d.chunk_id.alias("dst"), F.when(dst.d.match < 3, 1.0).otherwise(0.85).alias("weight"))
-    return out.filter("src <> dst").groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    weight = F.when(F.col("kind") == "link_inferred", INFERRED).when((F.col("d.match") < 3) | ((F.col("heading") == "") & F.col("embed")), 1.0).otherwise(UNSURE)
+    out = src.join(dst, keys).select("src", F.col("d.chunk_id").alias("dst"), "kind", weight.alias("weight"), F.struct("from_ref", "pos", "raw").alias("place"))
+    return out.filter("src <> dst").groupBy("src", "dst").agg(F.min_by(F.struct("kind", "weight"), "place").alias("e")).select("src", "dst", "e.kind", "e.weight")
 
 
 def co_arrival(expansions: DataFrame, fused: DataFrame) -> DataFrame:

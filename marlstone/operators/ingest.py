@@ -66,6 +66,16 @@ def page_articles(pages: DataFrame) -> DataFrame:
     return each(pages, "page_id", "html", "article string", lambda t: [(web.article(t),)])
 
 
+#: Fixed value: an article of fewer words is thin.
+THIN = 150
+
+
+def word_gate(pages: DataFrame) -> DataFrame:
+    """(page_id, n_words, thin): words of each page's article, and whether these are too few."""
+    n = F.size(F.filter(F.split("article", r"\s+"), lambda w: w != "")).cast("long")
+    return page_articles(pages).select("page_id", n.alias("n_words"), (n < THIN).alias("thin"))
+
+
 def page_scripts(pages: DataFrame) -> DataFrame:
     return each(pages, "page_id", "html", "kind string, script string", lambda t: [(k, s) for k, v in web.scripts(t).items() for s in v])
 

@@ -77,16 +77,27 @@ def _tokens(text: str) -> str:
 
 
 _STARTERS = ", ".join(f"'{w}'" for w in X.STARTERS)
-_ENTITIES = rf"""
-proper AS (SELECT doc_id, regexp_replace(v, '^(?:The|A|An) [ \t]*', '') AS v FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '\b(\p{{Lu}}[\p{{L}}0-9]*(?:[ \t]+\p{{Lu}}[\p{{L}}0-9]*)*)\b', 1)) AS v FROM documents)),
-raw AS (
-  SELECT doc_id, 'date' AS kind, unnest(regexp_extract_all(coalesce(text, ''), '\b(\d{{4}}-\d{{2}}-\d{{2}})\b', 1)) AS v FROM documents UNION ALL
-  SELECT doc_id, 'date', unnest(regexp_extract_all(coalesce(text, ''), '\b((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{{1,2}},?\s+\d{{4}})\b', 1)) FROM documents UNION ALL
-  SELECT doc_id, 'path', unnest(regexp_extract_all(coalesce(text, ''), '\b([\w.-]+/[\w./-]+|\w+\.(?:go|js|ts|md|py|json|yaml|yml|sql|sh|html|css|txt))\b', 1)) FROM documents UNION ALL
-  SELECT doc_id, 'number', unnest(regexp_extract_all(coalesce(text, ''), '([$€£]\s?\d[\d,]*(?:\.\d+)?|\b\d[\d,]*(?:\.\d+)?\s?(?:%|ms|s|kb|mb|gb|tb|px|em|rem)\b)', 1)) FROM documents UNION ALL
-  SELECT doc_id, 'proper', v FROM proper WHERE v <> '' AND NOT (NOT contains(v, ' ') AND lower(v) IN ({_STARTERS})) AND NOT (strlen(v) < 3 AND v = upper(v)) AND strlen(v) <= 128),
-ents AS (SELECT doc_id, kind, lower(trim(v)) AS value, count(*) AS count FROM raw WHERE strlen(trim(v)) BETWEEN 1 AND 128 GROUP BY ALL)
+_FENCE = r"(?m)^[^\S\n]*(?:`{3,}[^`\n]*|~{3,}[^\n]*)$"
+
+
+def _entities(rows: str, id_: str, prefix: str = "") -> str:
+    """CTEs ``ents`` (id, kind, value, count) of a table's texts; code is taken out first."""
+    p = prefix
+    return rf"""
+{p}outside AS (SELECT {id_}, array_to_string(list_filter(string_split_regex(coalesce(text, ''), '{_FENCE}'), lambda x, i: i % 2 = 1), chr(10)) AS text FROM {rows}),
+{p}clean AS (SELECT {id_}, array_to_string(list_transform(string_split(text, chr(10)), lambda l: array_to_string(list_transform(string_split(l, '`'), lambda x, i: CASE WHEN i % 2 = 0 THEN repeat(' ', length(x)) ELSE x END), ' ')), chr(10)) AS text FROM {p}outside),
+{p}proper AS (SELECT {id_}, regexp_replace(v, '^(?:The|A|An) [ \t]*', '') AS v FROM (SELECT {id_}, unnest(regexp_extract_all(text, '\b(\p{{Lu}}[\p{{L}}0-9]*(?:[ \t]+\p{{Lu}}[\p{{L}}0-9]*)*)\b', 1)) AS v FROM {p}clean)),
+{p}raw AS (
+  SELECT {id_}, 'date' AS kind, unnest(regexp_extract_all(text, '\b(\d{{4}}-\d{{2}}-\d{{2}})\b', 1)) AS v FROM {p}clean UNION ALL
+  SELECT {id_}, 'date', unnest(regexp_extract_all(text, '\b((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{{1,2}},?\s+\d{{4}})\b', 1)) FROM {p}clean UNION ALL
+  SELECT {id_}, 'path', unnest(regexp_extract_all(text, '\b([\w.-]+/[\w./-]+|\w+\.(?:go|js|ts|md|py|json|yaml|yml|sql|sh|html|css|txt))\b', 1)) FROM {p}clean UNION ALL
+  SELECT {id_}, 'number', unnest(regexp_extract_all(text, '([$€£]\s?\d[\d,]*(?:\.\d+)?|\b\d[\d,]*(?:\.\d+)?\s?(?:%|ms|s|kb|mb|gb|tb|px|em|rem)\b)', 1)) FROM {p}clean UNION ALL
+  SELECT {id_}, 'proper', v FROM {p}proper WHERE v <> '' AND NOT (NOT contains(v, ' ') AND lower(v) IN ({_STARTERS})) AND NOT (strlen(v) < 3 AND v = upper(v)) AND strlen(v) <= 128),
+{p}ents AS (SELECT {id_}, kind, lower(trim(v)) AS value, count(*) AS count FROM {p}raw WHERE strlen(trim(v)) BETWEEN 1 AND 128 GROUP BY ALL)
 """
+
+
+_ENTITIES = _entities("documents", "doc_id")
 _COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 _SIMILAR = f"""
 sims AS (SELECT a.vec_id AS src, b.vec_id AS dst, round({_COS.format(a="a.embedding", b="b.embedding")}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label <> b.label),
@@ -245,7 +256,7 @@ def _(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.explode(X.query_ngrams(F.col("text"))).alias("gram"))
 
 
-_JACCARD = f"""{_ENTITIES}, {_ASKED}, {_GRAMS.replace("QUERY", "q")}, named AS (SELECT DISTINCT value FROM ents WHERE value IN (SELECT gram FROM grams)), ev AS (SELECT DISTINCT doc_id, value FROM ents),
+_JACCARD = f"""{_ENTITIES}, {_ASKED}, {_GRAMS.replace("QUERY", "q")}, {_entities("q", "item_id", "q_")}, named AS (SELECT value FROM ents WHERE value IN (SELECT gram FROM grams) UNION SELECT value FROM q_ents), ev AS (SELECT DISTINCT doc_id, value FROM ents),
 sz AS (SELECT doc_id, count(*) AS n FROM ev GROUP BY ALL), sh AS (SELECT doc_id, count(*) AS shared FROM ev WHERE value IN (SELECT value FROM named) GROUP BY ALL),
 jac AS (SELECT doc_id, round(shared / (n + (SELECT count(*) FROM named) - shared), 6) AS jaccard FROM sh JOIN sz USING (doc_id))"""
 
@@ -399,12 +410,23 @@ def _(spark, d):
     return M.folder_rollup(sources(docs(spark, d)))
 
 
-@query("enrich_priority", f"WITH {_SOURCES}, l AS (SELECT doc_id, count(DISTINCT quality * 2 + toxic) AS n_links FROM labels GROUP BY ALL) SELECT source_id, coalesce(n_links, 0) AS n_links, token_count FROM src LEFT JOIN l ON l.doc_id = source_id ORDER BY n_links DESC, token_count DESC, source_ref LIMIT 25")
+def note_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links among the documents as notes (from_ref, to_ref): each names up to four others, one of them twice."""
+    ref = F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    rows = docs(spark, d).select("doc_id", ref.alias("ref"))
+    wanted = F.concat(F.sequence(F.lit(0), F.col("doc_id") % 5), F.array(F.lit(1))).cast("array<bigint>")
+    out = rows.select(F.col("ref").alias("from_ref"), F.posexplode(wanted).alias("pos", "k"), "doc_id").withColumn("to_id", F.col("doc_id") + F.col("k") * 3)
+    return out.join(rows.select(F.col("doc_id").alias("to_id"), F.col("ref").alias("to_ref")), "to_id").select("from_ref", "to_ref", "pos")
+
+
+LINKS_SQL = "refs AS (SELECT doc_id, source || '/' || doc_id || '.md' AS ref FROM documents), note_links AS (SELECT a.ref AS from_ref, b.ref AS to_ref, i - 1 AS pos FROM (SELECT doc_id, ref, unnest(list_append(range(0, doc_id % 5 + 1), 1)) AS k, generate_subscripts(list_append(range(0, doc_id % 5 + 1), 1), 1) AS i FROM refs) a JOIN refs b ON b.doc_id = a.doc_id + a.k * 3)"
+
+
+@query("enrich_priority", f"WITH {_SOURCES}, {LINKS_SQL}, l AS (SELECT from_ref, count(DISTINCT to_ref) AS n_links FROM note_links GROUP BY ALL) SELECT source_id, coalesce(n_links, 0) AS n_links, token_count FROM src LEFT JOIN l ON l.from_ref = source_ref WHERE source_id % 3 <> 0 ORDER BY n_links DESC, token_count DESC, source_ref LIMIT 25")
 def _(spark, d):
-    links = table(spark, d, "labels").groupBy("doc_id").agg(F.countDistinct(F.col("quality") * 2 + F.col("toxic")).alias("n_links"))
-    s = sources(docs(spark, d))
-    joined = s.join(links, s.source_id == links.doc_id, "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
-    return joined.orderBy(F.desc("n_links"), F.desc("token_count"), "source_ref").limit(25).select("source_id", "n_links", "token_count")
+    state = F.when(F.col("source_id") % 3 == 0, "done").otherwise("pending")
+    s = sources(docs(spark, d)).withColumn("entity_pass", state).withColumn("ingested_at", F.lit("2024-01-01"))
+    return Z.pending(s, note_links(spark, d)).select("source_id", "n_links", "token_count")
 
 
 @query("status_counts", f"WITH {_SIMILAR} SELECT 'similar' AS kind, count(*) AS edges FROM similar_ UNION ALL SELECT 'role:' || role, count(*) FROM conversations GROUP BY role")
@@ -480,51 +502,59 @@ def _(spark, d):
 # ---- links, on fixtures ----
 
 _NOTES = [("notes/Alpha.md", ["first", "A one"]), ("notes/Beta.md", []), ("archive/Beta.md", []), ("daily/2024-05-01.md", ["today"]), ("notes/deep/Gamma.md", [])]
-_LINKS = [("notes/Alpha.md", "Gamma", "Part", "[[Gamma#Part]]"), ("notes/Alpha.md", "notes/Beta", "", "[[notes/Beta]]"), ("notes/Beta.md", "first", "", "[[first]]"), ("notes/Beta.md", "beta", "", "[[beta]]"), ("daily/2024-05-01.md", "nowhere", "", "[[nowhere]]"), ("notes/deep/Gamma.md", "A One", "", "[[A One|x]]"), ("notes/deep/Gamma.md", "TODAY", "Missing", "[[TODAY#Missing]]")]
-_CHUNK_ROWS = [("a1", "notes/Alpha.md", 1, "Intro", "Alpha"), ("a2", "notes/Alpha.md", 2, "see [[Gamma#Part]] and [[notes/Beta]]", "Alpha › More"), ("b1", "notes/Beta.md", 1, "to [[first]] and [[beta]]", "Beta"), ("d1", "daily/2024-05-01.md", 1, "[[nowhere]]", ""), ("g1", "notes/deep/Gamma.md", 1, "top [[A One|x]]", "Gamma"), ("g2", "notes/deep/Gamma.md", 2, "[[TODAY#Missing]]", "Gamma › Part")]
+_LINKS = [
+    ("notes/Alpha.md", "Gamma", "Part", "[[Gamma#Part]]", False, "link", 1), ("notes/Alpha.md", "notes/Beta", "", "[[notes/Beta]]", False, "link", 2), ("notes/Alpha.md", "notes/Beta", "", "![[notes/Beta]]", True, "link", 3),
+    ("notes/Beta.md", "first", "", "[[first]]", False, "link", 1), ("notes/Beta.md", "beta", "", "[[beta]]", False, "link", 2), ("daily/2024-05-01.md", "nowhere", "", "[[nowhere]]", False, "link", 1),
+    ("notes/deep/Gamma.md", "A One", "", "[[A One|x]]", False, "link", 1), ("notes/deep/Gamma.md", "TODAY", "Missing", "[[TODAY#Missing]]", False, "link", 2), ("notes/deep/Gamma.md", "notes/Beta", "", "said to differ", False, "link_inferred", 3), ("daily/2024-05-01.md", "Alpha", "", "![[Alpha]]", True, "link", 2),
+]
+_CHUNK_ROWS = [("a1", "notes/Alpha.md", 1, "Intro", "Alpha"), ("a2", "notes/Alpha.md", 2, "see [[Gamma#Part]] and ![[notes/Beta]]", "Alpha › More"), ("a3", "notes/Alpha.md", 3, "again [[Gamma#Part]]", "Alpha › More"), ("b1", "notes/Beta.md", 1, "to [[first]] and [[beta]]", "Beta"), ("d1", "daily/2024-05-01.md", 1, "[[nowhere]]", ""), ("g1", "notes/deep/Gamma.md", 1, "top [[A One|x]]", "Gamma"), ("g2", "notes/deep/Gamma.md", 2, "[[TODAY#Missing]]", "Gamma › Part")]
 
 
 def _values(rows: list[tuple]) -> str:
-    lit = lambda v: str(v) if isinstance(v, int) else "[" + ", ".join(map(lit, v)) + "]::VARCHAR[]" if isinstance(v, list) else "'" + v.replace("'", "''") + "'"
+    lit = lambda v: str(v).lower() if isinstance(v, int) else "[" + ", ".join(map(lit, v)) + "]::VARCHAR[]" if isinstance(v, list) else "'" + v.replace("'", "''") + "'"
     return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
 
 
-_VAULT = rf"""notes(path, aliases) AS (VALUES {_values(_NOTES)}), links(from_ref, target, heading, raw) AS (VALUES {_values(_LINKS)}),
+_VAULT = rf"""notes(path, aliases) AS (VALUES {_values(_NOTES)}), links(from_ref, target, heading, raw, embed, kind, pos) AS (VALUES {_values(_LINKS)}),
 k AS (SELECT path, regexp_replace(lower(trim(path)), '\.(md|markdown)$', '') AS key, aliases FROM notes),
 al AS (SELECT regexp_replace(lower(trim(a)), '\.(md|markdown)$', '') AS want, min(path) AS p FROM (SELECT unnest(aliases) AS a, path FROM k) GROUP BY 1),
 bs AS (SELECT regexp_extract(key, '([^/]+)$', 1) AS want, min(path) AS p FROM k GROUP BY 1 HAVING count(*) = 1),
 res AS (SELECT l.*, coalesce(k.path, al.p, bs.p) AS to_ref, CASE WHEN k.path IS NOT NULL THEN 'path' WHEN al.p IS NOT NULL THEN 'alias' WHEN bs.p IS NOT NULL THEN 'basename' ELSE 'missing' END AS resolved_by
   FROM (SELECT *, regexp_replace(lower(trim(target)), '\.(md|markdown)$', '') AS want FROM links) l LEFT JOIN k ON k.key = l.want LEFT JOIN al ON al.want = l.want LEFT JOIN bs ON bs.want = l.want)"""
 _VAULT_EDGES = rf"""{_VAULT}, ch(chunk_id, ref, ord, text, heading_path) AS (VALUES {_values(_CHUNK_ROWS)}),
-s AS (SELECT from_ref, to_ref, heading, raw, arg_min(chunk_id, (CASE WHEN contains(text, raw) THEN 0 ELSE 1 END) * 1000 + ord) AS src FROM res JOIN ch ON ch.ref = from_ref WHERE to_ref IS NOT NULL GROUP BY ALL),
-mt AS (SELECT from_ref, to_ref, heading, raw, chunk_id, ord, CASE WHEN heading = '' THEN 3 WHEN lower(heading_path) = lower(heading) OR ends_with(lower(heading_path), ' › ' || lower(heading)) THEN 0 WHEN contains(lower(heading_path), lower(heading)) THEN 1 ELSE 3 END AS m FROM res JOIN ch ON ch.ref = to_ref),
-dd AS (SELECT from_ref, to_ref, heading, raw, arg_min(chunk_id, m * 1000 + ord) AS dst, min(m) AS m FROM mt GROUP BY ALL),
-le AS (SELECT src, dst, CAST(max(CASE WHEN m < 3 THEN 1.0 ELSE 0.85 END) AS DOUBLE) AS weight FROM s JOIN dd USING (from_ref, to_ref, heading, raw) WHERE src <> dst GROUP BY src, dst)"""
+lk AS (SELECT *, row_number() OVER () AS no FROM res WHERE to_ref IS NOT NULL),
+hold AS (SELECT no, chunk_id AS src FROM lk JOIN ch ON ch.ref = from_ref WHERE contains(text, raw)),
+s AS (SELECT * FROM hold UNION ALL SELECT no, arg_min(chunk_id, ord) FROM lk JOIN ch ON ch.ref = from_ref WHERE no NOT IN (SELECT no FROM hold) GROUP BY no),
+mt AS (SELECT no, chunk_id, ord, CASE WHEN heading = '' THEN 3 WHEN lower(heading_path) = lower(heading) OR ends_with(lower(heading_path), ' › ' || lower(heading)) THEN 0 WHEN contains(lower(heading_path), lower(heading)) THEN 1 ELSE 3 END AS m FROM lk JOIN ch ON ch.ref = to_ref),
+dd AS (SELECT no, arg_min(chunk_id, m * 1000 + ord) AS dst, min(m) AS m FROM mt GROUP BY no),
+pl AS (SELECT src, dst, kind, CAST(CASE WHEN kind = 'link_inferred' THEN 0.8 WHEN m < 3 OR (heading = '' AND embed) THEN 1.0 ELSE 0.85 END AS DOUBLE) AS weight, from_ref, pos FROM lk JOIN s USING (no) JOIN dd USING (no) WHERE src <> dst),
+le AS (SELECT src, dst, kind, weight FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY from_ref, pos) AS r FROM pl) WHERE r = 1)"""
+_LINK_COLUMNS = ["from_ref", "to_ref", "heading", "raw", "embed", "kind", "pos"]
 
 
 def _resolved(spark: SparkSession) -> DataFrame:
     notes = spark.createDataFrame(_NOTES, "path string, aliases array<string>")
-    return G.resolve_links(spark.createDataFrame(_LINKS, "from_ref string, target string, heading string, raw string"), notes)
+    return G.resolve_links(spark.createDataFrame(_LINKS, "from_ref string, target string, heading string, raw string, embed boolean, kind string, pos int"), notes)
 
 
 def _link_edges(spark: SparkSession) -> DataFrame:
     chunks = spark.createDataFrame(_CHUNK_ROWS, "chunk_id string, ref string, ord int, text string, heading_path string")
-    return G.link_edges(_resolved(spark).filter("to_ref is not null").select("from_ref", "to_ref", "heading", "raw"), chunks)
+    return G.link_edges(_resolved(spark).filter("to_ref is not null").select(*_LINK_COLUMNS), chunks)
 
 
 @query("link_resolve", f"WITH {_VAULT} SELECT from_ref, target, heading, raw, to_ref, resolved_by FROM res")
 def _(spark, d):
-    return _resolved(spark)
+    return _resolved(spark).drop("embed", "kind", "pos")
 
 
-@query("link_edges", f"WITH {_VAULT_EDGES} SELECT src, dst, weight FROM le")
+@query("link_edges", f"WITH {_VAULT_EDGES} SELECT src, dst, kind, weight FROM le")
 def _(spark, d):
     return _link_edges(spark)
 
 
-@query("backlinks", f"WITH {_VAULT_EDGES} SELECT dst AS node, src AS linked_from, 'link' AS kind, weight FROM le")
+@query("backlinks", f"WITH {_VAULT_EDGES} SELECT dst AS node, src AS linked_from, kind, weight FROM le")
 def _(spark, d):
-    return G.backlinks(_link_edges(spark).withColumn("kind", F.lit("link")).select("src", "dst", "kind", "weight"))
+    return G.backlinks(_link_edges(spark))
 
 
 @query("links_touching", f"WITH {_VAULT} SELECT from_ref, to_ref, heading, raw FROM res WHERE to_ref IS NOT NULL AND (from_ref = 'notes/Alpha.md' OR to_ref = 'notes/Alpha.md')")
@@ -543,10 +573,9 @@ def _(spark, d):
     return line_chunks(docs(spark, d)).filter(X.is_prose(F.col("text"))).select("doc_id", "ord")
 
 
-@query("word_gate", r"SELECT page_id, len(list_filter(string_split_regex(html, '\s+'), lambda w: w <> '')) AS n_words, len(list_filter(string_split_regex(html, '\s+'), lambda w: w <> '')) < 150 AS thin FROM pages")
+@query("word_gate")
 def _(spark, d):
-    n = F.size(F.filter(F.split(F.coalesce("html", F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
-    return table(spark, d, "pages").select("page_id", n.alias("n_words"), (n < 150).alias("thin"))
+    return N.word_gate(spread(table(spark, d, "pages")))
 
 
 @query("json_props", "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

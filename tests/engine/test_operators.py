@@ -67,6 +67,16 @@ def test_turns(spark):
     assert skips == {5: "plan-driven", 7: "no reply", 9: "too long"}
 
 
+def test_words_are_those_of_the_article(spark):
+    from marlstone.functions import web
+    from marlstone.operators import ingest
+
+    body = " ".join(f"word{i}" for i in range(160))
+    pages = [(1, f"<html><body><nav>{body}</nav><article><h1>A b</h1><p>{body[:200]}</p></article></body></html>"), (2, f"<body><article><p>{body}</p></article></body>"), (3, ""), (4, None)]
+    out = {r["page_id"]: (r["n_words"], r["thin"]) for r in ingest.word_gate(spark.createDataFrame(pages, "page_id long, html string")).collect()}
+    assert out == {i: (n := len(web.article(h or "").split()), n < 150) for i, h in pages} and out[2] == (160, False) and out[1][1] and out[1][0] > 10
+
+
 def test_near_pairs_match_brute_force(spark):
     base = "the quick brown fox jumps over the lazy dog near the old stone bridge while seven grey herons watch"
     rows = [(1, base), (2, base.replace("seven", "eight")), (3, "nothing alike at all in here"), (4, base), (5, ""), (6, None)]
