@@ -14,7 +14,7 @@ from ..plans.lineage import cut
 
 #: BM25 saturation and length weights, and how many of a query's rarest terms probe.
 K1, B, PROBES = 1.2, 0.75, 12
-BLOCK = 2048
+BLOCK, LANES = 2048, 64
 
 
 def term_freq(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -81,23 +81,38 @@ def knn(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return scored.orderBy(F.desc(F.round("similarity", 6)), "vec_id").limit(k)
 
 
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Rows of numbers from one flat buffer; shorter ones end with zeros, and nulls count as zero."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(lists), int(sizes.max(initial=0))))
+    flat = np.nan_to_num(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    out[np.repeat(np.arange(len(lists)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, BLOCK):
             part = batch.slice(lo, BLOCK)
-            vectors = np.array(part.column(2).to_pylist(), np.float64).reshape(part.num_rows, -1)
+            vectors = _matrix(part.column(2))
             norms = np.linalg.norm(vectors, axis=1)[:, None]
             unit = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part.column(0).to_numpy().astype(np.int64).tobytes(), part.column(1).to_numpy().astype(np.int64).tobytes(), unit.tobytes())], names=["ids", "labels", "vectors"])
 
 
+def _together(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of all rows; the narrower side ends with zeros."""
+    d = min(x.shape[1], y.shape[1])
+    return x[:, :d] @ y[:, :d].T
+
+
 def _top(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], []]
             for r in range(batch.num_rows):
                 (a, la, x), (b, lb, y) = (tuple(np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in zip(cols, (np.int64, np.int64, np.float64), strict=True)) for cols in ((0, 1, 2), (3, 4, 5)))
-                sims = np.round(x.reshape(len(a), -1) @ y.reshape(len(b), -1).T, 6)
+                sims = np.round(_together(x.reshape(len(a), -1), y.reshape(len(b), -1)), 6)
                 sims[la[:, None] == lb[None, :]] = -2
                 order = np.lexsort((np.broadcast_to(b, sims.shape), -sims), axis=1)[:, :k]
                 rows = np.arange(len(a))[:, None]
@@ -110,17 +125,21 @@ def _top(k: int):
     return run
 
 
-def similar_topk(vectors: DataFrame, k: int = 8, least: float = 0.25) -> DataFrame:
+def similar_topk(vectors: DataFrame, k: int = 8, least: float = 0.25, asked: DataFrame | None = None) -> DataFrame:
     """(src, dst, similarity): each vector's ``k`` nearest of other labels, then those of at least ``least``.
 
+    With ``asked``, rows of the same columns, only these are asked for theirs.
+
     Vectors are packed into blocks of bounded size; each pair of blocks is one
     matrix product that keeps ``k`` for each vector, and the blocks' bests are
     merged by a window, so similarities below them never leave a task.
     """
-    blocks = vectors.filter(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").mapInArrow(_blocks, "ids binary, labels binary, vectors binary")
-    blocks = blocks.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(64)))
-    right = blocks.select("lane", *[F.col(c).alias(f"{c}_2") for c in ("ids", "labels", "vectors")])
-    left = blocks.drop("lane").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<bigint>")))
+    of = lambda df: df.filter(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_blocks, "ids binary, labels binary, vectors binary")
+    blocks = cut(of(vectors), "blocks")
+    # As many lanes as there are blocks to meet, up to a bound.
+    lanes = max(1, min(LANES, blocks.count()))
+    right = blocks.select(F.pmod(F.xxhash64("ids"), F.lit(lanes)).alias("lane"), *[F.col(c).alias(f"{c}_2") for c in ("ids", "labels", "vectors")])
+    left = (blocks if asked is None else of(asked)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)).cast("array<bigint>")))
     pairs = left.join(right, "lane").drop("lane")
     found = pairs.mapInArrow(_top(k), "src long, dst long, similarity double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "dst"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import conversation, dedup, graph, maintain, search
-from marlstone.plans import catalog
+from marlstone.plans import catalog, catalog_store
 from marlstone.plans.lineage import cut, release
 from marlstone.sources import files
 from marlstone.streaming import incremental
@@ -194,3 +194,54 @@ def test_sessions(spark):
     assert {r["content"]: r["seq"] for r in sessions.with_sequence(old, new).collect()} == {"x": 5, "y": 6, "z": 1}
     skills = spark.createDataFrame([("Make", "Tea"), ("other", "coffee")], "name string, description string")
     assert [r["name"] for r in sessions.find_skills(skills, "TEA").collect()] == ["Make"]
+
+
+def small_store(spark):
+    text = {1: "Alpha Mill stands by the river", 2: "see [[b]] and Alpha Mill", 3: "closing words here", 4: "Alpha Mill again in b", 5: "more of b", 6: "talk of Alpha Mill"}
+    of = {1: "a", 2: "a", 3: "a", 4: "b", 5: "b", 6: "c"}
+    vector = {1: [1.0, 0.0, 0.1], 2: [0.2, 1.0, 0.0], 4: [1.0, 0.05, 0.1], 5: [0.1, 1.0, 0.1], 6: [0.0, 0.1, 1.0]}
+    ord_ = {1: 1, 2: 2, 3: 4, 4: 1, 5: 2, 6: 1}
+    chunks = spark.createDataFrame([(f"k{i}", of[i], ord_[i], t, 5, vector.get(i), "") for i, t in text.items()], "chunk_id string, source_id string, ord long, text string, token_count long, embedding array<double>, heading_path string")
+    sources = spark.createDataFrame([(s, "directory" if s != "c" else "conversation", s, None if s != "c" else "9", "", "h", 10, "pending") for s in "abc"], "source_id string, source_type string, source_ref string, session_id string, title string, content_hash string, token_count long, entity_pass string")
+    links = spark.createDataFrame([("a", "b", "", "[[b]]", False, "link", 1), ("b", "a", "", "again in b", False, "link_inferred", 1)], "from_ref string, to_ref string, heading string, raw string, embed boolean, kind string, pos int")
+    from marlstone.operators import entities
+
+    return {"sources": sources, "chunks": chunks, "links": links, "entities": entities.entity_counts(chunks, "chunk_id")}
+
+
+def test_edges_are_built_and_updated(spark):
+    from marlstone.operators import build, store
+
+    s = small_store(spark)
+    rows = lambda df: sorted(map(tuple, df.select("src", "dst", "kind", F.round("weight", 4)).collect()))
+    whole = cut(build.build_edges(s["sources"], s["chunks"], s["links"], s["entities"]))
+    kinds = {(a, b, k) for a, b, k, _ in rows(whole)}
+    assert {("k1", "k2", "next"), ("k2", "k1", "prev"), ("k2", "k4", "link"), ("k4", "k1", "link_inferred"), ("k1", "k4", "similar"), ("k4", "k1", "similar"), ("k2", "k5", "similar")} <= kinds
+    assert ("k2", "k3", "next") not in kinds and not any("k6" in (a, b) for a, b, k in kinds if k == "similar") and ("k1", "k4", "entity") in kinds
+    changed = spark.createDataFrame([("b",)], "source_id string")
+    # Nothing changed but the chunks' identity: a full and a scoped build agree.
+    assert rows(build.update_edges(whole, s["sources"], s["chunks"], s["links"], s["entities"], changed)) == rows(whole)
+    # A note that is made anew loses its edges and gets them back, those of other notes into it included.
+    again = s["chunks"].withColumn("chunk_id", F.when(F.col("source_id") == "b", F.concat("chunk_id", F.lit("x"))).otherwise(F.col("chunk_id")))
+    from marlstone.operators import entities
+
+    named = entities.entity_counts(again, "chunk_id")
+    assert rows(build.update_edges(whole, s["sources"], again, s["links"], named, changed)) == rows(build.build_edges(s["sources"], again, s["links"], named))
+    assert rows(build.build_edges(s["sources"], s["chunks"], None, s["entities"], whole)) == rows(whole)
+    gone = store.drop_sources(s | {"edges": whole, "terms": s["chunks"].select("chunk_id", F.lit("t").alias("term"))}, changed)
+    assert not any(x in ("k4", "k5") for a, b, *_ in rows(gone["edges"]) for x in (a, b)) and gone["terms"].count() == 4
+
+
+def test_store_defaults_and_conditions(spark):
+    from marlstone.operators import store
+
+    new = spark.createDataFrame([("", None, "2024-01-02", None), ("x", "Mine", "2024-01-01", True)], "session_id string, title string, created_at string, pinned boolean")
+    out = {r["title"]: r for r in store.with_defaults(new).collect()}
+    assert out["New Chat"]["session_id"] and out["New Chat"]["pinned"] is False and out["Mine"]["session_id"] == "x"
+    assert [r["pinned"] for r in store.set_where(new, "session_id = 'x'", pinned=False).collect()] == [None, False]
+    made = store.artifact_defaults(spark.createDataFrame([(None, ""), ("T", "sql")], "title string, content_type string"))
+    assert sorted(map(tuple, made.collect())) == [("T", "sql"), ("Untitled", "text")]
+    links = spark.createDataFrame([("c", "k", "v", 1, "h")], "chunk_id string, kind string, value string, count int, extractor string")
+    more = spark.createDataFrame([("c", "k", "v", 3, "llm"), ("c", "k", "w", 2, "llm")], links.schema)
+    assert sorted(r["count"] for r in store.add_entities(links, more).collect()) == [1, 2] and sorted(r["count"] for r in store.add_entities(links, more, additive=False).collect()) == [2, 3]
+    assert store.drop_links(small_store(spark)["links"], spark.createDataFrame([("a",)], "from_ref string")).count() == 1
