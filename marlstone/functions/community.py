@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from collections.abc import Callable
 
 import numpy as np
 
@@ -136,12 +137,23 @@ def quality(edges: dict[tuple[int, int], float], part: list[int], gamma: float =
     return inside - gamma * sum(k * (k - 1) / 2 for k in Counter(part).values())
 
 
-def runs(texts: list[str], seed: int) -> list[tuple[int, int]]:
+def semantic(embed: Callable[[list[str]], np.ndarray]) -> Callable[[list[str]], np.ndarray]:
+    """Similarity of sentences by the cosine of their vectors; opposite ones count as 0."""
+
+    def similarity(texts: list[str]) -> np.ndarray:
+        v = np.asarray(embed(texts), float).reshape(len(texts), -1)
+        v /= np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+        return np.maximum(v @ v.T, 0)
+
+    return similarity
+
+
+def runs(texts: list[str], seed: int, similarity: Callable[[list[str]], np.ndarray] = similarities) -> list[tuple[int, int]]:
     """Runs of neighbouring sentences of one community; long texts by overlapping windows, each sentence in one run."""
     out, covered = [], 0
     for at in range(0, len(texts), WINDOW - OVERLAP):
         window = texts[at : at + WINDOW]
-        part = leiden(len(window), sentence_graph(similarities(window)), seed=seed + at)
+        part = leiden(len(window), sentence_graph(similarity(window)), seed=seed + at)
         begin = 0
         for i in range(1, len(part) + 1):
             if i == len(part) or part[i] != part[begin]:

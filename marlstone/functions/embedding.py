@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 
@@ -30,3 +33,43 @@ def embed(text: str, dims: int = DIMENSIONS) -> list[float]:
     if not size:
         v[0] = size = 1.0
     return (v / size).astype(np.float32).tolist()
+
+
+class Embedder(Protocol):
+    """Vectors of texts; ``name`` and ``dims`` say which vectors can be compared."""
+
+    name: str
+    dims: int
+
+    def __call__(self, texts: list[str]) -> list[list[float]]: ...
+
+    def query(self, text: str) -> list[float]: ...
+
+
+@dataclass(frozen=True)
+class HashEmbedder:
+    """The hashed embedder; a prefix, as models ask for, is put before queries only."""
+
+    dims: int = DIMENSIONS
+    prefix: str = ""
+
+    @property
+    def name(self) -> str:
+        return f"hash-{self.dims}"
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return [embed(t, self.dims) for t in texts]
+
+    def query(self, text: str) -> list[float]:
+        return self([self.prefix + text])[0]
+
+
+def resolve(candidates: list[tuple[str, Callable[[], Embedder]]]) -> tuple[Embedder | None, str]:
+    """The first embedder that can be made, and an empty reason; else None and why each couldn't."""
+    why = []
+    for name, make in candidates:
+        try:
+            return make(), ""
+        except Exception as error:  # noqa: BLE001 - the reason is reported, search goes on without vectors
+            why.append(f"{name}: {error}")
+    return None, "; ".join(why) or "no embedder given"

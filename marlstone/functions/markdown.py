@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
 import re
 from dataclasses import dataclass
 
@@ -17,10 +16,6 @@ _DELIMITER = re.compile(r"^(?=.*-)[|:\- ]+$")
 _WIKI = re.compile(r"(!?)\[\[([^\]\[|#]+)(#[^\]\[|]+)?(\|[^\]\[]+)?\]\]")
 _MD_LINK = re.compile(r"\[([^\]]*)\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)")
 _TAG = re.compile(r"(?:^|(?<=[\s(\[{,;:]))#([^\W\d_](?:[^\W_]|[-_/])*)")
-#: Layouts of dates in the names of daily notes, with their lengths.
-DAILY = (("%Y-%m-%d", 10), ("%Y_%m_%d", 10), ("%Y%m%d", 8), ("%d-%m-%Y", 10), ("%m-%d-%Y", 10), ("%Y-%m-%d %A", 17))
-
-
 @dataclass
 class Block:
     """A block of a note; ``level`` is 0 but for headings."""
@@ -152,17 +147,3 @@ def tags(text: str) -> list[str]:
     """Inline tags, lower case, each once; headings and code have none."""
     found = [t.lower() for line in strip_code(text).split("\n") if not _ATX.match(line.strip()) for t in _TAG.findall(line)]
     return list(dict.fromkeys(found))
-
-
-def daily_date(name: str) -> str | None:
-    """ISO date that a note's file name is or begins with."""
-    base = re.sub(r"\.(md|markdown)$", "", re.split(r"[/\\]", name)[-1]).strip()
-    for layout, size in DAILY:
-        for part in (base, base[:size]):
-            try:
-                day = datetime.datetime.strptime(part, layout)
-            except ValueError:
-                continue
-            if len(part) >= size and 1900 <= day.year <= 2200:
-                return day.strftime("%Y-%m-%d")
-    return None

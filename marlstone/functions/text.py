@@ -118,6 +118,71 @@ def entities(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.groupBy(id_col, "kind", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
+def word_count(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("long")
+
+
+def clip_bytes(text: Column, most: int) -> Column:
+    """The longest beginning of at most ``most`` UTF-8 bytes that cuts no character in two."""
+    raw = F.encode(text, "UTF-8")
+    inside = lambda n: F.hex(F.substring(raw, n + 1, 1)).between("80", "BF")
+    size = F.when(~inside(most), most).when(~inside(most - 1), most - 1).when(~inside(most - 2), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(text) <= most, text).when(F.lit(most <= 0), F.lit("")).otherwise(F.decode(F.substring(raw, F.lit(1), size), "UTF-8"))
+
+
+#: Layouts of dates in the names of daily notes, with their lengths, in the order in which they are tried; years that count.
+DAILY = (("yyyy-MM-dd", 10), ("yyyy_MM_dd", 10), ("yyyyMMdd", 8), ("dd-MM-yyyy", 10), ("MM-dd-yyyy", 10))
+YEARS = (1900, 2200)
+
+
+def daily_date(name: Column) -> Column:
+    """ISO date that a note's file name is or begins with, as the first layout that fits reads it; else null."""
+    base = F.trim(F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)\z", 1), r"\.(md|markdown)\z", ""))
+    days = [F.try_to_timestamp(F.when(F.substring(base, 1, size).rlike("\\A" + layout.replace("yyyy", "\\d{4}").replace("MM", "\\d{2}").replace("dd", "\\d{2}") + "\\z"), F.substring(base, 1, size)), F.lit(layout)) for layout, size in DAILY]
+    return F.coalesce(*[F.when(F.year(d).between(*YEARS), F.date_format(d, "yyyy-MM-dd")) for d in days])
+
+
+#: Fixed value: what follows a text that was cut.
+CUT = "\n\n[… truncated]"
+
+
+def clip_chars(text: Column, most: int) -> Column:
+    """The first ``most`` characters, marked if there were more; 0 or less means no limit."""
+    return text if most <= 0 else F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(CUT))).otherwise(text)
+
+
+def slug(name: Column) -> Column:
+    """A file name from a name: lower case, runs of other than a-z and 0-9 are one hyphen, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def short_number(n: Column) -> Column:
+    """A count for display: whole below a thousand, then thousands, with one decimal below ten of them; halves go up."""
+    tenths = F.floor((n + 50) / 100)
+    small = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("k"))
+    return F.when(n < 1000, n.cast("string")).when(n < 10_000, small).otherwise(F.concat(F.floor((n + 500) / 1000).cast("string"), F.lit("k")))
+
+
+def ordered_distinct(values: Column) -> Column:
+    """Trimmed values in order, each once, without empty ones."""
+    return F.array_distinct(F.filter(F.transform(values, trimmed), lambda v: v != ""))
+
+
+_HEAD = r"(?s)\A[ \t\r]*---[ \t\r]*\n((?:.*?\n)??)[ \t\r]*---[ \t\r]*(?:\n+|\z)"
+
+
+def flat_field(text: Column, name: str) -> Column:
+    """Value of a ``key: value`` line in the block between two ``---`` lines at a text's start; the last if repeated, else null."""
+    pairs = F.filter(F.split(F.regexp_extract(text, _HEAD, 1), "\n"), lambda line: F.trim(F.substring_index(line, ":", 1)) == name)
+    pairs = F.filter(pairs, lambda line: F.contains(line, F.lit(":")))
+    return F.nullif(trimmed(F.regexp_replace(F.try_element_at(pairs, F.lit(-1)), r"\A[^:]*:", "")), F.lit(""))
+
+
+def flat_body(text: Column) -> Column:
+    """The text without that block."""
+    return F.regexp_replace(text, _HEAD, "")
+
+
 def is_prose(s: Column) -> Column:
     """Readable prose rather than an address, code, a blob or a hash."""
     starts = F.lit(False)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.text import token_count
 from ..operators import build as B
 from ..operators import entities as E
@@ -224,3 +225,35 @@ def _(spark, d):
 @query("rand_index", "WITH r AS (SELECT lang, source FROM documents), c AS (SELECT lang, source, count(*) AS n FROM r GROUP BY ALL), p AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS ab, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY lang)) AS pa, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY source)) AS pb, (SELECT count(*) * (count(*) - 1) / 2 FROM r) AS t) SELECT round((t + 2 * ab - pa - pb) / t, 6) AS rand_index FROM p")
 def _(spark, d):
     return B.rand_index(docs(spark, d), "lang", "source")
+
+
+# ---- columns over rows of the tables ----
+
+
+@query("text_clips", "SELECT doc_id, CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || chr(10) || chr(10) || '[… truncated]' ELSE text END AS clipped, len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '')) AS n_words, CASE WHEN n_chars < 1000 THEN CAST(n_chars AS VARCHAR) WHEN n_chars < 10000 THEN ((n_chars + 50) // 1000) || '.' || ((n_chars + 50) // 100 % 10) || 'k' ELSE ((n_chars + 500) // 1000) || 'k' END AS size FROM documents")
+def _(spark, d):
+    return docs(spark, d).select("doc_id", X.clip_chars(F.col("text"), 200).alias("clipped"), X.word_count(F.coalesce("text", F.lit(""))).alias("n_words"), X.short_number(F.col("n_chars")).alias("size"))
+
+
+@query("slugs", "SELECT doc_id, trim(regexp_replace(lower(substring(coalesce(text, ''), 1, 40)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+def _(spark, d):
+    return docs(spark, d).select("doc_id", X.slug(F.substring(F.coalesce("text", F.lit("")), 1, 40)).alias("slug"))
+
+
+@query("line_set", "SELECT doc_id, array_to_string(l, chr(10)) AS lines FROM (SELECT doc_id, list_filter(t, lambda x, i: x <> '' AND list_position(t, x) = i) AS l FROM (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS t FROM documents))")
+def _(spark, d):
+    return docs(spark, d).select("doc_id", F.array_join(X.ordered_distinct(F.split(F.coalesce("text", F.lit("")), "\n")), "\n").alias("lines"))
+
+
+@query("daily_dates", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS date FROM events")
+def _(spark, d):
+    t, i = F.col("ts"), F.col("event_id") % 4
+    name = F.when(i == 0, F.date_format(t, "yyyy-MM-dd 'notes.md'")).when(i == 1, F.concat(F.lit("d/"), F.date_format(t, "yyyyMMdd"))).when(i == 2, F.date_format(t, "yyyy_MM_dd'.markdown'")).otherwise(F.date_format(t, "yyyy-MM-dd EEEE"))
+    return table(spark, d, "events").select("event_id", X.daily_date(name).alias("date"))
+
+
+@query("flat_fields", "SELECT doc_id, lang AS name, CAST(doc_id % 7 AS VARCHAR) AS max_tokens, coalesce(ltrim(text, chr(10)), '') AS body FROM documents")
+def _(spark, d):
+    made = F.concat(F.lit("---\nname: "), "lang", F.lit("\nmax_tokens: 1\n max_tokens :  "), (F.col("doc_id") % 7).cast("string"), F.lit(" \nother\n---\n\n"), F.coalesce("text", F.lit("")))
+    rows = docs(spark, d).select("doc_id", made.alias("text"))
+    return rows.select("doc_id", X.flat_field(F.col("text"), "name").alias("name"), X.flat_field(F.col("text"), "max_tokens").alias("max_tokens"), X.flat_body(F.col("text")).alias("body"))

@@ -81,7 +81,53 @@ def test_front_matter_links_tags_dates():
     found = markdown.links(note)
     assert [(x["target"], x["heading"], x["alias"], x["embed"]) for x in found] == [("N", "H", "al", False), ("E", "", "", True), ("u.md", "h", "t", False)]
     assert markdown.tags(note) == ["tag", "two"]
-    assert markdown.daily_date("d/2024-03-05 Meeting.md") == "2024-03-05" and markdown.daily_date("20240305.md") == "2024-03-05" and markdown.daily_date("v1.md") is None
+
+
+@pytest.mark.parametrize(
+    "name,want",
+    [("d/2023-11-09 Standup.md", "2023-11-09"), ("20231109.md", "2023-11-09"), ("2023_11_09x.markdown", "2023-11-09"), ("25-12-2022.md", "2022-12-25"), ("12-25-2022 eve", "2022-12-25"), ("04-05-2022", "2022-05-04"), ("v2.md", None), ("1850-01-01.md", None), ("2023-02-30.md", None), ("notes", None), ("x\\2021-01-02 Monday.md", "2021-01-02")],
+)
+def test_daily_dates(spark, name, want):
+    assert one(spark, X.daily_date(F.lit(name))) == want
+
+
+def test_clips_slugs_and_numbers(spark):
+    for most in range(12):
+        text = "aé世🙂b"
+        want = text.encode()[:most].decode("utf-8", "ignore")
+        assert one(spark, X.clip_bytes(F.lit(text), most)) == want
+    assert one(spark, X.clip_chars(F.lit("abcé"), 3)) == "abc\n\n[… truncated]" and one(spark, X.clip_chars(F.lit("abc"), 3)) == "abc" == one(spark, X.clip_chars(F.lit("abc"), 0))
+    assert one(spark, X.slug(F.lit(" My Skill: 2é! "))) == "my-skill-2"
+    assert [one(spark, X.short_number(F.lit(n))) for n in (0, 999, 1000, 1249, 9949, 9999, 10_499, 10_500)] == ["0", "999", "1.0k", "1.2k", "9.9k", "10.0k", "10k", "11k"]
+    assert one(spark, X.ordered_distinct(F.array(*map(F.lit, (" b", "a", "", "b ", "a"))))) == ["b", "a"]
+    head = "---\nname: x\n  max : 5\nbad line\nname: y: z\n---\n\nbody\n---\nmore"
+    assert one(spark, X.flat_field(F.lit(head), "name")) == "y: z" and one(spark, X.flat_field(F.lit(head), "max")) == "5" and one(spark, X.flat_field(F.lit(head), "bad line")) is None
+    assert one(spark, X.flat_body(F.lit(head))) == "body\n---\nmore" and one(spark, X.flat_body(F.lit("---\nopen: x"))) == "---\nopen: x" and one(spark, X.flat_body(F.lit("---\n---\nb"))) == "b"
+
+
+def test_embedders_and_counters_can_be_exchanged(spark):
+    class Letters:
+        name, dims = "letters", 3
+
+        def __call__(self, texts):
+            return [[float(t.count(c)) for c in "abc"] for t in texts]
+
+        def query(self, text):
+            return self([text])[0]
+
+    from marlstone.operators import ingest
+
+    rows = spark.createDataFrame([(1, "aab"), (2, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["embedding"] for r in ingest.text_vectors(rows, embedder=Letters()).collect()} == {1: [2.0, 1.0, 0.0], 2: [0.0, 0.0, 0.0]}
+    assert embedding.resolve([("m", lambda: 1 / 0), ("l", Letters)])[1] == "" and embedding.resolve([("m", lambda: 1 / 0)]) == (None, "m: division by zero") and embedding.resolve([])[0] is None
+    plain, asked = embedding.HashEmbedder(), embedding.HashEmbedder(prefix="query: ")
+    assert plain.query("x y") == plain(["x y"])[0] != asked.query("x y") and asked(["x y"]) == plain(["x y"])
+    text = "# T\n\n" + " ".join(f"Cats {w} purr softly." for w in "abcdefgh") + " " + " ".join(f"Rockets {w} burn fuel." for w in "abcdefgh")
+    cats = lambda texts: [[1.0, 0.0] if "Cats" in t else [0.0, 1.0] for t in texts]
+    assert [c.text.count("Rockets") for c in ingest.chunker("semantic", lambda t: 100 * len(t.split()) // 2, cats)(text)][0] == 0
+    assert len(ingest.chunker("headings", lambda t: 10 * len(t))(text)) > len(ingest.chunker("headings")(text))
+    with pytest.raises(ValueError):
+        ingest.chunker("other")
 
 
 def test_chunks_keep_everything():

@@ -245,3 +245,79 @@ def test_store_defaults_and_conditions(spark):
     more = spark.createDataFrame([("c", "k", "v", 3, "llm"), ("c", "k", "w", 2, "llm")], links.schema)
     assert sorted(r["count"] for r in store.add_entities(links, more).collect()) == [1, 2] and sorted(r["count"] for r in store.add_entities(links, more, additive=False).collect()) == [2, 3]
     assert store.drop_links(small_store(spark)["links"], spark.createDataFrame([("a",)], "from_ref string")).count() == 1
+
+
+def test_folders_of_skills_and_modes(spark, tmp_path):
+    root = str(tmp_path)
+    files.write_text(root, "deep/SKILL.md", "---\nname: zeta\ndescription: a: b\n---\n\n# Body\n")
+    files.write_text(root, "plain.md", "no head")
+    files.write_text(root, "other/readme.md", "not a skill")
+    assert files.save_skill(root, "My  Skill!", "does\nthings", " body ") == "my-skill.md"
+    with pytest.raises(ValueError):
+        files.save_skill(root, "my skill", "again", "body")
+    got = [tuple(r) for r in files.skills(spark, root).select("name", "description", "ref").collect()]
+    assert got == [("My Skill!", "does things", "my-skill.md"), ("plain", "", "plain.md"), ("zeta", "a: b", "deep/SKILL.md")]
+    assert [r["body"] for r in files.skill_body(files.skills(spark, root), "zeta").collect()] == ["# Body\n"]
+    (tmp_path / "cot").mkdir()
+    for name, text in (("b.md", "---\nmax_tokens: 64\n---\nthink"), ("a.md", "---\nmax_tokens: many\n---\n"), ("c.md", "---\nopen: end\nthink")):
+        files.write_text(root, f"cot/{name}", text)
+    assert [tuple(r) for r in files.modes(spark, f"{root}/cot").collect()] == [("a", 1024, ""), ("b", 64, "think"), ("c", 1024, "---\nopen: end\nthink")]
+    assert files.list_folder(root, "deep") == [("SKILL.md", False, 45)] and files.read_text(root, "plain.md") == "no head"
+    files.write_text(root, "big.txt", "x" * (files.MAX_READ + 1))
+    with pytest.raises(ValueError):
+        files.read_text(root, "big.txt")
+
+
+def test_note_metadata_and_other_sources(spark):
+    from marlstone.operators import ingest
+
+    notes = spark.createDataFrame([("d/2024-05-06 Plan.md", "---\ntitle: Mine\ntags: [A, '#b', a]\ncreated: 2023-01-02T10:00\naliases: [x]\n---\ntext #c #a"), ("n.md", "plain"), ("20231301.md", None)], "ref string, text string")
+    out = {r["ref"]: tuple(r)[1:] for r in ingest.note_metadata(notes).collect()}
+    assert out == {"d/2024-05-06 Plan.md": ("Mine", ["c", "a", "b"], ["2024-05-06", "2023-01-02"], ["x"]), "n.md": ("n", [], [], []), "20231301.md": ("20231301", [], [], [])}
+    arts = spark.createDataFrame([("1", "Plan", "markdown", "# Back\n\nroll it"), ("2", "", "text", "words"), ("3", "T", "sql", "  ")], "artifact_id string, title string, content_type string, content string")
+    assert sorted((r["artifact_id"], r["heading_path"]) for r in ingest.artifact_chunks(arts).collect()) == [("1", "Plan (markdown) › Back"), ("2", "Untitled artifact")]
+    rows = [(1, 1, "user", "hi Corin Mill", None), (1, 2, "cot", "secret Hidden Name", None), (1, 3, "assistant", "yo", None)]
+    pairs = conversation.turn_pairs(spark.createDataFrame(rows, "session_id long, seq int, role string, content string, tool_name string"))
+    turn = ingest.turn_chunks(pairs, F.lit("Thread")).first()
+    assert "secret" in turn["terms"] and "thread" in turn["terms"] and "cot" not in turn.asDict()
+    assert "hidden name" not in {e["value"] for e in turn["entities"]} and "corin mill" in {e["value"] for e in turn["entities"]}
+
+
+def test_near_copies_are_rejected_on_the_way_in(spark):
+    from marlstone.operators import ingest
+
+    base = "the quick brown fox jumps over the lazy dog near the old stone bridge while seven grey herons watch"
+    new = spark.createDataFrame([("a", 1, base), ("a", 2, "something else entirely stands here"), ("a", 3, "something else entirely stands here."), ("b", 1, base + "!"), ("a", 4, "")], "ref string, ord long, text string")
+    stored = spark.createDataFrame([("a", "something else entirely stands here"), ("c", base.replace("seven", "eight")), ("d", "far away words")], "ref string, text string")
+    out = {(r["ref"], r["ord"]): r["near_copy"] for r in ingest.reject_near_copies(new, stored).collect()}
+    assert out == {("a", 1): True, ("a", 2): False, ("a", 3): True, ("b", 1): True, ("a", 4): False}
+
+
+def test_folder_is_ingested_and_brought_up_to_date(spark, tmp_path):
+    from marlstone.operators import ingest
+
+    (tmp_path / "sub").mkdir()
+    write = lambda name, text: (tmp_path / name).write_text(text)
+    write("a.md", "# A\n\nCorin Mill stands by the river bank and turns slowly. See [[b]].\n\n## Part\n\nMore about the wheel and its long history here.")
+    write("sub/b.md", "---\naliases: [bee]\n---\nThe second note speaks of Corin Mill and of nothing much besides that.")
+    start = {"sources": small_store(spark)["sources"].limit(0), "chunks": small_store(spark)["chunks"].drop("heading_path").withColumn("embedding", F.col("embedding").cast("array<float>")).limit(0)}
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    start |= {"chunks": start["chunks"].withColumn("heading_path", F.lit("")).limit(0), "terms": empty("chunk_id string, term string, tf long"), "entities": empty("chunk_id string, kind string, value string, count long, extractor string"), "links": empty("from_ref string, to_ref string, heading string, raw string, embed boolean, kind string"), "edges": empty("src string, dst string, kind string, weight double")}
+    one, report = ingest.ingest_folder(spark, str(tmp_path), start)
+    assert {r["action"]: r["n"] for r in report.collect()} == {"added": 2} and one["sources"].count() == 2 and one["chunks"].filter("embedding is null").count() == 0
+    name = {r["chunk_id"]: r["text"][:10] for r in one["chunks"].collect()}
+    kinds = {(name[r["src"]], name[r["dst"]], r["kind"]) for r in one["edges"].collect()}
+    assert ("# A\n\nCorin", "The second", "link") in kinds and ("The second", "# A\n\nCorin", "entity") in kinds and any(k == "next" for *_, k in kinds)
+    two, report = ingest.ingest_folder(spark, str(tmp_path), one)
+    assert {r["action"]: r["n"] for r in report.collect()} == {"touched": 2} and two["edges"].count() == one["edges"].count() and two["terms"].count() == one["terms"].count()
+    write("sub/b.md", "A wholly different note that still speaks of Corin Mill in passing.")
+    write("c.md", "The third one links to [[sub/b|it]].")
+    (tmp_path / "a.md").unlink()
+    three, report = ingest.ingest_folder(spark, str(tmp_path), two)
+    assert {r["action"]: r["n"] for r in report.collect()} == {"added": 1, "changed": 1, "removed": 1}
+    assert {r["source_ref"] for r in three["sources"].collect()} == {"sub/b.md", "c.md"} and {r["from_ref"] for r in three["links"].collect()} == {"c.md"}
+    ids = {r["chunk_id"] for r in three["chunks"].collect()}
+    assert {r["chunk_id"] for r in three["terms"].collect()} == ids and all(r["src"] in ids and r["dst"] in ids for r in three["edges"].collect())
+    # Its id stays with the note.
+    of = lambda s: {r["source_ref"]: r["source_id"] for r in s["sources"].collect()}
+    assert of(three)["sub/b.md"] == of(one)["sub/b.md"]
