@@ -34,32 +34,32 @@ def backlinks(edges: DataFrame) -> DataFrame:
 
 
 def steps(edges: DataFrame) -> DataFrame:
-    """(src, dst, gain) of every usable step: links lead both ways."""
+    """(src, dst, kind, gain) of every usable step: links lead both ways."""
     known = edges.filter(F.col("kind").isin(*DECAY))
     both = known.unionByName(known.filter(F.col("kind").isin(*BOTH_WAYS)).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind", "weight"))
     decay = F.create_map(*[F.lit(x) for kv in DECAY.items() for x in kv])
-    return both.select("src", "dst", (F.col("weight") * decay[F.col("kind")]).alias("gain"))
+    return both.select("src", "dst", "kind", (F.col("weight") * decay[F.col("kind")]).alias("gain"))
 
 
 def walk(edges: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH, frontier: int = MAX_FRONTIER, visited: int = MAX_VISITED) -> DataFrame:
-    """(node, score, hops): where a bounded walk from (node, score) seeds gets.
+    """(node, score, hops, via): where a bounded walk from (node, score) seeds gets.
 
     A step multiplies by the edge's weight and its kind's decay; scores below the
     least are dropped. The earliest hop that reaches a node settles it, with its
     best score there; only the best ``frontier`` of a hop go on and count as
     visited, others may be reached again. Seeds are the best ten and never
-    return. Frontier and visited are bounded, so they are broadcast against edges.
+    return. ``via`` is the kind of the edge that gave the score. Frontier and visited are bounded, so they are broadcast against edges.
     """
     moves = steps(edges)
     front = seeds.select("node", "score").orderBy(F.desc("score"), "node").limit(MAX_SEEDS)
-    seen = front.select("node", F.lit(0).alias("hops"), "score")
+    seen = front.select("node", F.lit(0).alias("hops"), "score", F.lit("").alias("via"))
     for hop in range(1, depth + 1):
-        reached = moves.join(F.broadcast(front), moves.src == front.node).select(F.col("dst").alias("node"), (F.col("score") * F.col("gain")).alias("score"))
-        best = reached.filter(F.col("score") >= LEAST_SCORE).groupBy("node").agg(F.max("score").alias("score")).join(F.broadcast(seen.select("node")), "node", "left_anti")
+        reached = moves.join(F.broadcast(front), moves.src == front.node).select(F.col("dst").alias("node"), "kind", (F.col("score") * F.col("gain")).alias("score"))
+        best = reached.filter(F.col("score") >= LEAST_SCORE).groupBy("node").agg(F.max("score").alias("score"), F.max_by("kind", F.struct("score", "kind")).alias("via")).join(F.broadcast(seen.select("node")), "node", "left_anti")
         front = cut(best.orderBy(F.desc("score"), "node").limit(frontier), "frontier")
-        seen = seen.unionByName(front.select("node", F.lit(hop).alias("hops"), "score"))
+        seen = seen.unionByName(front.select("node", F.lit(hop).alias("hops"), "score", "via"))
     found = seen.filter("hops > 0").orderBy("hops", F.desc("score"), "node").limit(max(0, visited))
-    return found.select("node", "score", "hops")
+    return found.select("node", "score", "hops", "via")
 
 
 def resolve_links(links: DataFrame, notes: DataFrame) -> DataFrame:

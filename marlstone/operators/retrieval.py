@@ -58,11 +58,15 @@ def bm25(documents: DataFrame, query: DataFrame, k: int | None = 20) -> DataFram
     rows = cut(rows, "lengths")
     stats = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.coalesce(F.avg("tokens"), F.lit(0.0)), F.lit(1.0)).alias("avg_tokens"))
     hits = rows.select("doc_id", F.greatest("tokens", F.lit(1)).alias("dl"), F.explode("held").alias("term"))
-    postings = hits.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return scored(hits.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), stats, k)
+
+
+def scored(postings: DataFrame, stats: DataFrame, k: int | None) -> DataFrame:
+    """doc_id and score from a query's postings (doc_id, dl, term, tf) and one row of statistics: its rarest terms count."""
     probes = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy("df", "term").limit(PROBES)
-    scored = postings.join(F.broadcast(probes), "term").join(F.broadcast(stats))
+    rows = postings.join(F.broadcast(probes), "term").join(F.broadcast(stats))
     part = idf(F.col("n_docs"), F.col("df")) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_tokens")))
-    out = scored.groupBy("doc_id").agg(F.sum(part).alias("score"))
+    out = rows.groupBy("doc_id").agg(F.sum(part).alias("score"))
     return out if k is None else out.orderBy(F.desc(F.round("score", 6)), "doc_id").limit(k)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,12 +13,14 @@ from ..operators import conversation as C
 from ..operators import dedup as D
 from ..operators import entities as E
 from ..operators import graph as G
+from ..operators import index as K
 from ..operators import ingest as N
 from ..operators import maintain as M
 from ..operators import retrieval as R
 from ..operators import enrich as Z
 from ..operators import search as S
 from ..operators import sessions as O
+from ..plans.lineage import shared_root
 from ..sources.tables import line_chunks, messages, sources, spread, table
 from ..streaming import incremental as I
 
@@ -320,6 +323,37 @@ def _(spark, d):
     return S.best_per_source(S.fuse(_pool(spark, d), S.Options())).withColumn("fused", F.round("fused", 6))
 
 
+def index_of(spark: SparkSession, d: str) -> K.Index:
+    """The index of the documents of a folder, made once for a session and folder."""
+    if (spark.sparkContext.applicationId, d) not in _INDEXES:
+        _INDEXES[spark.sparkContext.applicationId, d] = K.build(texts(spark, d).select("doc_id", "text", "source"), f"{shared_root(spark)}/index-{uuid.uuid4().hex}", parts=8)
+    return _INDEXES[spark.sparkContext.applicationId, d]
+
+
+_INDEXES: dict[tuple[str, str], K.Index] = {}
+
+
+@query("bm25_indexed", f"WITH {_BM25} SELECT doc_id, score FROM scores ORDER BY score DESC, doc_id LIMIT 20")
+def _(spark, d):
+    return K.bm25(index_of(spark, d), asked(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query("entity_jaccard_indexed", f"WITH {_JACCARD} SELECT doc_id, jaccard FROM jac")
+def _(spark, d):
+    return K.entity_signal(index_of(spark, d), asked(spark, d)).withColumnRenamed("entity", "jaccard")
+
+
+@query("minmax_fusion_indexed", f"WITH {_FUSED} SELECT doc_id, fused FROM fused")
+def _(spark, d):
+    pool = S.candidates(docs(spark, d), table(spark, d, "embeddings"), asked(spark, d), asked_vector(spark, d), index_of(spark, d))
+    return S.fuse(pool, S.Options()).select("doc_id", F.round("fused", 6).alias("fused"))
+
+
+@query("fused_search_indexed")
+def _(spark, d):
+    return S.search(docs(spark, d), table(spark, d, "embeddings"), asked(spark, d), asked_vector(spark, d), index=index_of(spark, d))
+
+
 @query("fused_search")
 def _(spark, d):
     return S.search(texts(spark, d), table(spark, d, "embeddings"), asked(spark, d), asked_vector(spark, d))
@@ -341,7 +375,7 @@ def _(spark, d):
     vectors = table(spark, d, "embeddings")
     edges = R.mutual(R.similar_topk(vectors)).select("src", "dst", F.lit("similar").alias("kind"), F.col("similarity").alias("weight"))
     seeds = R.knn(vectors, asked_vector(spark, d), 10).select(F.col("vec_id").alias("node"), F.round("similarity", 6).alias("score"))
-    return G.walk(edges, seeds).withColumn("score", F.round("score", 9))
+    return G.walk(edges, seeds).drop("via").withColumn("score", F.round("score", 9))
 
 
 # ---- conversations ----

@@ -1,14 +1,16 @@
 """Lineage cuts that survive lost executors, and limits for Arrow batches.
 
 A cut is a Parquet table in the folder that every executor shares
-(``spark.checkpoint.dir``).  Only where that setting is absent, as in tests, is
-a folder of our own used.  Tables live as long as the application unless they
+(``spark.checkpoint.dir``).  Only where that setting is absent and the master is
+local, as in tests, is a folder of our own used; a cluster without it is refused,
+as its machines would write to folders that others can't read.  Tables live as long as the application unless they
 are released earlier.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -23,6 +25,8 @@ def shared_root(spark: SparkSession) -> str:
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="marlstone-cuts-")
         _ROOTS[app] = f"{base.rstrip('/')}/marlstone-{app}"
         atexit.register(_forget, spark, _ROOTS[app])

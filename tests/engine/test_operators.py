@@ -321,3 +321,84 @@ def test_folder_is_ingested_and_brought_up_to_date(spark, tmp_path):
     # Its id stays with the note.
     of = lambda s: {r["source_ref"]: r["source_id"] for r in s["sources"].collect()}
     assert of(three)["sub/b.md"] == of(one)["sub/b.md"]
+
+
+def test_index_answers_as_the_texts_do_and_is_kept_up(spark, tmp_path):
+    from marlstone.operators import index, retrieval
+
+    rows = {i: f"word{i % 5} common tea{i} Corin Mill{i % 3}" for i in range(40)} | {40: None, 41: ""}
+    frame = lambda d: spark.createDataFrame([(i, t, f"s{i % 4}") for i, t in d.items()], "doc_id long, text string, source string")
+    asked = spark.createDataFrame([("common tea7 word3 Corin Mill1",)], "text string")
+    kept = index.build(frame(rows), str(tmp_path / "ix"), parts=4)
+
+    def same(now):
+        want, got = ({(r["doc_id"], round(r["score"], 6)) for r in df.collect()} for df in (retrieval.bm25(frame(now), asked, None), index.bm25(kept, asked, None)))
+        assert want == got and len(want) > 5
+        want, got = ({(r["doc_id"], r["entity"]) for r in df.collect()} for df in (search.entity_signal(frame(now), asked), index.entity_signal(kept, asked)))
+        assert want == got and want
+        assert {(r["doc_id"], r["text"]) for r in index.texts(kept, [0, 7, 40, 99]).collect()} == {(i, now[i] or "") for i in (0, 7, 40, 99) if i in now}
+
+    same(rows)
+    changed = {7: "nothing left of it", 60: "tea7 common anew", 0: "common common"}
+    index.update(kept, frame(changed), spark.createDataFrame([(3,), (12,)], "doc_id long"))
+    now = {i: t for i, t in (rows | changed).items() if i not in (3, 12)}
+    same(now)
+    index.update(kept, frame({3: "word3 is back"}), spark.createDataFrame([(60,)], "doc_id long"))
+    same({i: t for i, t in (now | {3: "word3 is back"}).items() if i != 60})
+    plan = index.bm25(kept, asked)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan or "part#" in plan.split("PartitionFilters", 1)[1][:200]
+
+
+def test_search_filters_and_report(spark):
+    rows = [(1, "alpha beta", "a", "s1", "2024-01-05"), (2, "alpha two", "b", "s2", "2024-02-05"), (3, "alpha three", "c", None, None), (4, "alpha four", "d", "s2", "2024-03-05"), (5, "unlike", "e", "s1", "2024-01-01")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, session_id string, ingested_at string")
+    asked = spark.createDataFrame([("alpha",)], "text string")
+    run = lambda **o: {r["doc_id"] for r in search.search(docs, None, asked, None, options=search.Options(**o)).collect()}
+    assert run() == {1, 2, 3, 4} and run(exclude_session="s2") == {1, 3} and run(since="2024-02-01") == {2, 3, 4} and run(until="2024-02-05") == {1, 2, 3} and run(since="2024-02-01", until="2024-02-28") == {2, 3}
+    edges = spark.createDataFrame([(1, 5, "link", 1.0), (5, 9, "next", 1.0)], "src long, dst long, kind string, weight double")
+    found = search.explain(docs, None, asked, None, edges, search.Options(since="2024-01-01"), no_vectors="no model")
+    assert tuple(found.report.first()) == (4, 4, 1, 5, "no model")
+    told = {r["doc_id"]: r for r in found.explained.collect()}
+    assert (told[5]["hops"], told[5]["via"], told[5]["bm25"]) == (1, "link", 0.0) and told[1]["hops"] is None and told[1]["bm25"] > 0
+    # What a filter rejects the walk doesn't bring back.
+    assert 5 not in {r["doc_id"] for r in search.search(docs, None, asked, None, edges, search.Options(since="2024-01-02")).collect()}
+
+
+@needs_tables
+def test_fused_search_is_that_of_plain_python(spark, duck):
+    sql = f"WITH {catalog._FUSED} SELECT f.doc_id, f.source, f.fused, coalesce(d.text, '') AS text, {catalog._tokens(catalog._TEXT)} AS token_count FROM fused f JOIN documents d USING (doc_id)"
+    pool = {r[0]: r for r in duck.execute(sql).fetchall()}
+    texts = {r[0]: r for r in duck.execute(f"SELECT doc_id, source, 0.0, coalesce(text, ''), {catalog._tokens(catalog._TEXT)} FROM documents").fetchall()}
+    edges = duck.execute(f"WITH {catalog._SIMILAR} SELECT a.src, a.dst, a.similarity FROM similar_ a JOIN similar_ b ON a.src = b.dst AND a.dst = b.src").fetchall()
+
+    def results(score):
+        best = {}
+        for i, s in sorted(score.items()):
+            source = texts[i][1]
+            if source not in best or round(s, 6) > round(score[best[source]], 6):
+                best[source] = i
+        grams = lambda t: {x[i : i + 3] for i in range(len(x) - 2)} if len(x := " ".join(t.lower().split())) >= 3 else {x} - {""}
+        taken, used = [], 0
+        for i in sorted(best.values(), key=lambda i: (-score[i], i)):
+            alike = any(2 * len(grams(texts[i][3]) & grams(texts[j][3])) >= 0.85 * (len(grams(texts[i][3])) + len(grams(texts[j][3]))) for j in taken)
+            if len(taken) < 6 and not alike and (not taken or used + texts[i][4] <= 2000):
+                taken.append(i)
+                used += texts[i][4]
+        return taken
+
+    score = {i: r[2] for i, r in pool.items()}
+    ids = lambda name: [r["doc_id"] for r in catalog.QUERIES[name](spark, SF).orderBy("rank").collect()]
+    assert ids("fused_search") == results(score) == ids("fused_search_indexed")
+    front = dict(sorted(((i, s) for i, s in score.items() if s > 0), key=lambda x: (-x[1], x[0]))[:10])
+    seen, walked = set(front), {}
+    for _ in range(2):
+        reached = {}
+        for a, b, w in edges:
+            if a in front and b not in seen and front[a] * w * 0.4 >= 1e-4:
+                reached[b] = max(reached.get(b, 0.0), front[a] * w * 0.4)
+        front = dict(sorted(reached.items(), key=lambda x: (-x[1], x[0]))[:30])
+        seen |= set(front)
+        walked |= front
+    for i, s in walked.items():
+        score[i] = score[i] + 0.25 * s if i in score else s
+    assert ids("fused_search_walk") == results({i: s for i, s in score.items() if i in texts})
