@@ -402,3 +402,30 @@ def test_fused_search_is_that_of_plain_python(spark, duck):
     for i, s in walked.items():
         score[i] = score[i] + 0.25 * s if i in score else s
     assert ids("fused_search_walk") == results({i: s for i, s in score.items() if i in texts})
+
+
+@needs_tables
+def test_near_pairs_of_a_table_match_brute_force(spark, duck):
+    import re
+
+    rows = {}
+    for i, t in sorted(duck.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall()):
+        rows.setdefault(t, i)
+    grams, terms, probes = {}, {}, {}
+    for t, i in rows.items():
+        x = re.sub(r"\s+", " ", t.lower()).strip(" ")
+        grams[i] = {x[k : k + 3] for k in range(len(x) - 2)} if len(x) >= 3 else {x} - {""}
+    for r in dedup.term_freq(catalog.docs(spark, SF)).filter("octet_length(term) >= 4").collect():
+        terms.setdefault(r["doc_id"], []).append((r["tf"], r["term"]))
+    for i in grams:
+        probes[i] = {w for _, w in sorted(terms.get(i, []))[:6]}
+    words = {i: {w for _, w in terms.get(i, [])} for i in grams}
+    want = {}
+    for i in grams:
+        for j in grams:
+            if i < j and (probes[i] & words[j] or probes[j] & words[i]):
+                d = 2 * len(grams[i] & grams[j]) / (len(grams[i]) + len(grams[j]))
+                if d >= 0.85:
+                    want[i, j] = round(d, 6)
+    got = {(r["a"], r["b"]): r["dice"] for r in catalog.QUERIES["dice_pairs"](spark, SF).collect()}
+    assert got == want and len(want) > 5
