@@ -30,6 +30,7 @@ from .worker import claim, drops
 CAPACITY, GROUPS, SMALL, PER_TASK = 2048, 256, 2048 // 3, 25_000
 END_ID = 0
 _MOST_WORDS = 1_300_000  # about 260 MB
+_PROBE = " One two's  THREE\n\n4 five-six, é\t<|x|> seven. 'Tis\r\n  done "
 
 
 def _little_endian(ids: list[int]) -> bytes:
@@ -39,9 +40,9 @@ def _little_endian(ids: list[int]) -> bytes:
 class WordEncoder:
     """Token ids of a text, put together from those of its parts between ASCII white space.
 
-    The tokenizer drops white space and nothing it does reaches across it, so the
-    parts' ids in a row are the text's.  Ids of parts are remembered, up to a
-    bound on their number.
+    The tokenizer must drop white space and nothing it does may reach across it, so
+    that the parts' ids in a row are the text's; one that doesn't is refused.  Ids
+    of parts are remembered, up to a bound on their number.
     """
 
     def __init__(self, path: str):
@@ -49,6 +50,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        if self(_PROBE.encode()) != _little_endian(self.tokenizer.encode(_PROBE, add_special_tokens=False).ids):
+            raise ValueError(f"{path} doesn't encode words apart from each other")
 
     def __call__(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -207,7 +210,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ``ids``, little-endian).
 
     A document is its token ids and then id 0; only documents of more than
-    ``capacity`` ids are cut.  Null and empty texts are the one id 0; repeated rows
+    ``capacity`` ids are cut.  The tokenizer must encode what ASCII white space parts
+    each on its own (``word_bpe_49k.json`` does); another raises ValueError.  Null and empty texts are the one id 0; repeated rows
     are packed one by one; an empty table gives an empty result; other columns
     are ignored.
     """

@@ -145,3 +145,8 @@ def test_long_parts_cost_in_proportion():
         subword.encode_slice(rule, np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), np.array([1], U64), 0.1, 20)
         took.append(time.thread_time() - began)
     assert took[1] < 9 * took[0] + 0.5
+
+
+def test_tokenizers_that_look_across_words_are_refused():
+    with pytest.raises(ValueError):
+        packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))

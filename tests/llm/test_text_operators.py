@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -365,3 +366,56 @@ def test_blocks_of_a_group_meet_in_every_pair(spark, monkeypatch):
     """With tiny blocks a group has many of them, and of one size several."""
     monkeypatch.setattr(minhash, "BLOCK_BYTES", 3000)
     test_large_group_of_near_copies_is_joined_without_its_hub(spark)
+
+
+def plain_profile(text):
+    """Bundle of a text's bound trigrams, one at a time."""
+    import unicodedata
+
+    letters = np.random.default_rng(1988).choice(np.array([-1, 1], np.int8), (4096, 512)).astype(int)
+    word = lambda chars: [0, *chars, 0]
+    words, now = [], []
+    for ch in text:
+        if unicodedata.category(ch)[0] == "L":
+            low = ch.lower()
+            now.append(1 + ord(low if len(low) == 1 else ch) % 4095)
+        elif now:
+            words.append(word(now))
+            now = []
+    words += [word(now)] if now else []
+    # Neighbouring words share the boundary between them.
+    line = [0] if words else []
+    for w in words:
+        line += w[1:]
+    grams = Counter(g for g in zip(line, line[1:], line[2:], strict=False) if (g[0] or g[1]) and (g[1] or g[2]))
+    out = np.zeros(512, int)
+    for (a, b, c), n in grams.items():
+        out += n * np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+    return out, bool(grams)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_language_query_is_that_of_plain_profiles(spark):
+    import pyarrow.parquet as pq
+
+    d = "/root/testdata/sf0.001"
+    rows = pq.read_table(f"{d}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    made = {r["doc_id"]: plain_profile(r["text"] or "") for r in rows}
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows}
+    sums = {}
+    for r in rows:
+        if not held[r["doc_id"]] and r["lang"] is not None and r["text"] is not None:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + made[r["doc_id"]][0]
+    names = sorted(k for k, v in sums.items() if v.any())
+    out = {r["doc_id"]: r for r in langid.op5_language(spark, d).collect()}
+    assert len(out) == len(rows) and any(held.values())
+    for i, (profile, lettered) in made.items():
+        assert out[i]["held_out"] == held[i]
+        if not lettered:
+            assert (out[i]["lang_pred"], out[i]["score"]) == ("und", 0.0)
+            continue
+        cosine = [profile @ sums[k] / (np.linalg.norm(profile) * np.linalg.norm(sums[k])) for k in names]
+        assert abs(out[i]["score"] - max(0.0, max(cosine))) < 1e-4
+        assert cosine[names.index(out[i]["lang_pred"])] > max(cosine) - 1e-5
+    right = [out[r["doc_id"]]["lang_pred"] == r["lang"] for r in rows if held[r["doc_id"]] and r["lang"] and r["text"]]
+    assert sum(right) >= 0.95 * len(right) and len(right) > 10
