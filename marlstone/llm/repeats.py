@@ -197,7 +197,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, as_
     ranges = refine.groupBy("id", "hash", "at").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     left = contexts.join(ranges, ["id", "hash", "at"]).select("id", "hash", "first", "bytes", "ranges")
     single = cut(left.mapInArrow(_single(length), "id long, hash long, first long, fa long, fb long"), "single")
-    twice = single.groupBy("fa", "fb").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fa", "fb")
+    # A table of its own, for the same reason as in _settle.
+    twice = cut(single.groupBy("fa", "fb").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fa", "fb"), "twice")
     last = single.join(twice, ["fa", "fb"], "left_semi").select("id", "hash", "first", F.col("first").alias("last"))
     return round0.unionByName(round1).unionByName(last)
 
