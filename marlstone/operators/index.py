@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_array, query_ngrams, terms, token_count
+from ..plans.lineage import cut, release
 from .retrieval import scored
 
 PARTS = 64
@@ -49,11 +50,14 @@ def _write(index: Index, documents: DataFrame, delta: int) -> None:
     values = F.array_distinct(F.transform(entity_array(text), lambda e: e["value"]))
     rows = documents.select(F.col("doc_id").cast("long"), "source", text.alias("text"), F.greatest(token_count(text), F.lit(1)).alias("dl"), token_count(text).alias("tokens"))
     found = rows.select("doc_id", "dl", F.explode(terms(F.col("text"))).alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    held = rows.select("doc_id", values.alias("values")).select("doc_id", F.size("values").alias("n"), F.explode("values").alias("value"))
+    # Written first: sizes, filters and rows of an array would each find its entities again.
+    arrays = cut(rows.select("doc_id", values.alias("values")), "values")
+    held = arrays.select("doc_id", F.size("values").alias("n"), F.explode("values").alias("value"))
     for name, table, key in (("postings", found, "term"), ("values", held, "value"), ("texts", rows, "doc_id")):
         dealt = table.withColumn("part", _part(F.col(key), index.parts))
         # A part's rows of one document or term may be many: they are dealt by the key, not by the part.
         dealt.repartition("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(8))).sortWithinPartitions("part", key).withColumn("delta", F.lit(delta)).write.mode("append").partitionBy("delta", "part").option("compression", "zstd").parquet(f"{index.path}/{name}")
+    release(arrays)
 
 
 def build(documents: DataFrame, path: str, parts: int = PARTS) -> Index:
