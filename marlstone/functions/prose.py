@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 
 #: Words whose full stop ends no sentence.
-ABBREVIATIONS = set("mr mrs ms dr prof sr jr st vs etc eg ie cf al fig no inc ltd co corp approx min max avg vol ch sec ref e.g i.e".split())
+ABBREVIATIONS = {
+    "mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "vs", "etc", "eg", "ie", "cf", "al", "fig", "no", "inc", "ltd", "co", "corp",
+    "approx", "min", "max", "avg", "vol", "ch", "sec", "ref", "e.g", "i.e",
+}
 _STOP = re.compile(r"[.!?]+[\"')\]}”’»]*")
 _LAST_WORD = re.compile(r"(?:[^\W\d_]|\.)*$")
 _NEXT = re.compile(r"\s*(\S?)")

@@ -12,7 +12,11 @@ from urllib.parse import urljoin
 SKIPPED = {"script", "style", "noscript", "head"}
 BOILERPLATE = SKIPPED | {"nav", "aside", "footer", "header", "form", "iframe", "svg"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-NOISY = set("buildId locale locales defaultLocale isPreview isFallback gssp gip appGip runtimeConfig nextExport autoExport assetPrefix scriptLoader err dynamicIds customServer query page pathname asPath __N_SSP __N_SSG".split())
+NOISY = {
+    "buildId", "locale", "locales", "defaultLocale", "isPreview", "isFallback", "gssp", "gip", "appGip", "runtimeConfig", "nextExport",
+    "autoExport", "assetPrefix", "scriptLoader", "err", "dynamicIds", "customServer", "query", "page", "pathname", "asPath", "__N_SSP",
+    "__N_SSG",
+}
 LD_KEYS = ("headline", "name", "description", "articleBody", "text")
 _AD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo|banner|cookie\w*)(?:$|[\s_-])", re.I)
 _STATE = re.compile(r"window\.(?:__INITIAL_STATE__|__PRELOADED_STATE__|__data|__NUXT__)\s*=\s*[^{]*", re.I)
