@@ -617,21 +617,24 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-_PLAN = '{"steps":[{"content":"read","status":"done"},{"content":"","status":"pending"},{"content":"write","status":"in_progress"},{"content":"test"}]}'
+_STATED = "list_transform(range(0, doc_id % 4 + 1), lambda k: {'content': CASE WHEN (doc_id + k) % 3 = 1 THEN '' ELSE lang || k END, 'status': CASE WHEN k % 2 = 0 THEN 'done' END})"
 
 
-@query("plan_steps_json", f"SELECT CAST(row_number() OVER () AS BIGINT) AS seq, content, status FROM (SELECT json_extract_string(s, '$.content') AS content, coalesce(json_extract_string(s, '$.status'), 'pending') AS status FROM (SELECT unnest(json_extract('{_PLAN}', '$.steps[*]')) AS s)) WHERE content <> ''")
+@query("plan_steps_json", f"WITH j AS (SELECT doc_id, list_filter({_STATED}, lambda s: s.content <> '') AS steps FROM documents) SELECT doc_id, unnest(range(1, len(steps) + 1)) AS seq, unnest(list_transform(steps, lambda s: s.content)) AS content, unnest(list_transform(steps, lambda s: coalesce(s.status, 'pending'))) AS status FROM j")
 def _(spark, d):
-    one = spark.range(1).select(F.from_json(F.lit(_PLAN), "steps array<struct<content:string,status:string>>").alias("p"))
-    steps = one.select(F.posexplode(F.filter("p.steps", lambda s: F.coalesce(s["content"], F.lit("")) != "")).alias("i", "s"))
-    return steps.select((F.col("i") + 1).cast("long").alias("seq"), "s.content", F.coalesce("s.status", F.lit("pending")).alias("status"))
+    k, step = F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 4), "struct<content:string,status:string>"
+    made = F.transform(k, lambda i: F.struct(F.when((F.col("doc_id") + i) % 3 == 1, "").otherwise(F.concat("lang", i.cast("string"))).alias("content"), F.when(i % 2 == 0, "done").alias("status")))
+    plans = docs(spark, d).select("doc_id", F.from_json(F.to_json(F.struct(made.alias("steps"))), f"steps array<{step}>").alias("p"))
+    steps = plans.select("doc_id", F.posexplode(F.filter("p.steps", lambda s: F.coalesce(s["content"], F.lit("")) != "")).alias("i", "s"))
+    return steps.select("doc_id", (F.col("i") + 1).cast("long").alias("seq"), "s.content", F.coalesce("s.status", F.lit("pending")).alias("status"))
 
 
-@query("json_suffix_key", "SELECT 'llama.context_length' AS key, CAST(8192 AS BIGINT) AS value")
+@query("json_suffix_key", "SELECT doc_id, lang || '.context_length' AS key, n_chars AS value FROM documents WHERE lang IS NOT NULL")
 def _(spark, d):
-    info = F.from_json(F.lit('{"general.name":"x","llama.context_length":"8192","llama.block_count":"32"}'), "map<string,string>")
+    made = F.concat(F.lit('{"general.name":"x","'), "lang", F.lit('.context_length":"'), F.col("n_chars").cast("string"), F.lit('","'), "lang", F.lit('.block_count":"32"}'))
+    info = F.from_json(made, "map<string,string>")
     hit = F.map_filter(info, lambda k, v: F.endswith(k, F.lit(".context_length")))
-    return spark.range(1).select(F.explode(hit).alias("key", "value")).withColumn("value", F.col("value").cast("long"))
+    return docs(spark, d).select("doc_id", F.explode(hit).alias("key", "value")).withColumn("value", F.col("value").cast("long"))
 
 
 @query("gen_options", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '{"top_k":' || doc_id || '}' ELSE '{"temperature":0.5,"top_k":' || doc_id || '}' END AS options_json FROM documents""")
