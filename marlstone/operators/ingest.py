@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunking, community, embedding, markdown, prose, web
-from ..functions.text import daily_date, entity_array, folded, ordered_distinct, terms, trimmed, word_count
+from ..functions.text import daily_date, entity_array, first_words, folded, ordered_distinct, terms, trimmed, word_count
 from ..plans.lineage import bound_batches, cut
 from ..sources import files
 from . import build, entities, graph, maintain, retrieval, store
@@ -76,18 +76,25 @@ def artifact_chunks(artifacts: DataFrame) -> DataFrame:
     return out.withColumn("heading_path", F.concat_ws(markdown.PATH_JOIN, "lead", F.nullif("heading_path", F.lit("")))).drop("lead")
 
 
+#: Fixed value: words of the hidden reasoning that lead to a turn.
+COT_WORDS = 64
+
+
 def turn_chunks(pairs: DataFrame, title: Column) -> DataFrame:
-    """Chunks of turn pairs with ``terms`` and ``entities``.
+    """Chunks of turn pairs with ``terms`` and ``entities``; the turn's title and number lead every heading path.
 
-    Terms cover the thread's context and hidden reasoning too, so that words found
-    there lead to the turn; entities are of what can be returned only, and the
-    reasoning itself isn't among the columns.
+    Terms cover the thread's context and the first words of the hidden reasoning too,
+    so that words found there lead to the turn; entities are of what can be returned
+    only, and the reasoning itself isn't among the columns.
     """
-    rows = pairs.withColumn("thread", thread_context(title, F.col("prev_gist")))
+    lead = F.format_string(f"%s{markdown.PATH_JOIN}turn %s", F.coalesce(F.nullif(title, F.lit("")), F.lit("Conversation")), F.col("start_seq").cast("string"))
+    rows = pairs.select("*", thread_context(title, F.col("prev_gist")).alias("thread"), lead.alias("lead"), first_words(F.col("cot"), COT_WORDS).alias("note"))
     chunks = each(rows, "ref", "turn_text", _CHUNK, lambda t: _rows(chunker()(t)))
-    out = chunks.join(rows.select("ref", "session_id", "thread", "cot"), "ref")
-    index = terms(F.concat_ws("\n", "chunk", F.nullif("thread", F.lit("")), "cot"))
-    return out.withColumn("terms", index).withColumn("entities", entity_array(F.col("chunk"))).drop("cot")
+    kept = [c for c in ("session_id",) if c in rows.columns]
+    out = chunks.join(rows.select("ref", *kept, "thread", "lead", "note"), "ref")
+    index = terms(F.concat_ws("\n", "chunk", F.nullif("thread", F.lit("")), "note"))
+    path = F.concat_ws(markdown.PATH_JOIN, "lead", F.nullif("heading_path", F.lit("")))
+    return out.withColumn("heading_path", path).withColumn("terms", index).withColumn("entities", entity_array(F.col("chunk"))).drop("note", "lead")
 
 
 def note_metadata(notes: DataFrame, ref_col: str = "ref", text_col: str = "text") -> DataFrame:

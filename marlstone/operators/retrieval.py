@@ -70,6 +70,28 @@ def scored(postings: DataFrame, stats: DataFrame, k: int | None) -> DataFrame:
     return out if k is None else out.orderBy(F.desc(F.round("score", 6)), "doc_id").limit(k)
 
 
+def bm25_many(documents: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """query_id, doc_id and score: the ``k`` best documents of each query (query_id, text).
+
+    One pass over the texts gives the postings of words that any query holds; each
+    query scores by its own rarest terms. Nothing is collected or broadcast by hint,
+    so queries can be many; a hot term's postings are a written table, which AQE
+    splits. Documents that share no probe term with a query have no row, nor have
+    queries without a known term.
+    """
+    text = F.coalesce("text", F.lit(""))
+    wanted = cut(queries.select("query_id", F.explode(F.array_distinct(terms(text))).alias("term")), "wanted")
+    rows = documents.select("doc_id", F.greatest(token_count(text), F.lit(1)).alias("dl"), F.explode(terms(text)).alias("term"))
+    tf = cut(rows.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    by_rarity = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))
+    probes = wanted.join(term_df(tf), "term").withColumn("r", by_rarity).filter(F.col("r") <= PROBES).drop("r")
+    stats = corpus_stats(documents).select("n_docs", "avg_tokens")
+    part = idf(F.col("n_docs"), F.col("df")) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_tokens")))
+    scores = tf.join(probes, "term").join(F.broadcast(stats)).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return scores.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in double precision; 0 where a length is 0 or lengths differ."""
     x, y = a.cast("array<double>"), b.cast("array<double>")

@@ -69,6 +69,13 @@ def safe_name(title: Column) -> Column:
     return F.when(F.coalesce(x, F.lit("")) == "", "artifact").otherwise(x)
 
 
+def export_name(title: Column, content_type: Column) -> Column:
+    """The name of the file that an artifact is exported to; a type without an ending of its own gives ``txt``."""
+    first = {kind: ending for ending, kind in reversed(TYPES.items())}
+    endings = F.create_map(*[F.lit(x) for kv in first.items() for x in kv])
+    return F.concat(safe_name(title), F.lit("."), F.coalesce(endings[F.coalesce(content_type, F.lit(""))], F.lit("txt")))
+
+
 def latest_session(sessions: DataFrame) -> DataFrame:
     return sessions.orderBy(F.desc("created_at"), F.desc("id")).limit(1)
 

@@ -173,6 +173,17 @@ def _(spark, d):
 
 # ---- vectors ----
 
+@query("bm25_all", f"""WITH {_terms("benchmark", "item_id", "wanted")}, {_terms("documents", "doc_id")}, {_STATS},
+w AS (SELECT DISTINCT item_id, term FROM wanted), tf AS (SELECT doc_id, term, count(*) AS tf FROM terms WHERE term IN (SELECT term FROM w) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), probes AS (SELECT item_id, term, df FROM w JOIN df USING (term) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY df, term) <= 12),
+scores AS (SELECT item_id, tf.doc_id, round(sum(greatest(0.0, ln(1 + (n_docs - df + 0.5) / (df + 0.5))) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * greatest(n.n, 1) / avg_tokens))), 6) AS score
+  FROM tf JOIN probes USING (term) JOIN n ON n.doc_id = tf.doc_id CROSS JOIN stats GROUP BY ALL)
+SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores QUALIFY rank <= 10""")
+def _(spark, d):
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return R.bm25_many(texts(spark, d), queries, 10).withColumnRenamed("query_id", "item_id").withColumn("rank", F.col("rank").cast("long"))
+
+
 _KNN = f"knn AS (SELECT e.vec_id, e.label, round({_COS.format(a='e.embedding', b='q.embedding')}, 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q)"
 
 

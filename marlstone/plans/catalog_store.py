@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.text import token_count
 from ..operators import build as B
+from ..operators import conversation as C
 from ..operators import entities as E
+from ..operators import history as H
 from ..operators import retrieval as R
+from ..operators import sessions as O
 from ..operators import store as T
 from ..sources.tables import line_chunks, messages, spread, table
-from .catalog import _CHUNKS, _COS, _entities, _terms, _tokens, LINKS_SQL, docs, note_links, query
+from .catalog import _CHUNKS, _COS, _TURNS, _entities, _terms, _tokens, LINKS_SQL, docs, note_links, query
 
 _REF = "source || '/' || doc_id || '.md'"
 
@@ -257,3 +260,32 @@ def _(spark, d):
     made = F.concat(F.lit("---\nname: "), "lang", F.lit("\nmax_tokens: 1\n max_tokens :  "), (F.col("doc_id") % 7).cast("string"), F.lit(" \nother\n---\n\n"), F.coalesce("text", F.lit("")))
     rows = docs(spark, d).select("doc_id", made.alias("text"))
     return rows.select("doc_id", X.flat_field(F.col("text"), "name").alias("name"), X.flat_field(F.col("text"), "max_tokens").alias("max_tokens"), X.flat_body(F.col("text")).alias("body"))
+
+
+# ---- history and artifacts ----
+
+_HISTORY = f"""{_TURNS}, h AS (SELECT session_id, session_id || '#' || start_seq || '-' || reply_at AS source_ref, sha256('User: ' || regexp_replace(user_text, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10) || 'Assistant: ' || regexp_replace(reply, '^\\s+|\\s+$', '', 'g') || chr(0)) AS content_hash FROM s WHERE skip_reason IS NULL)"""
+
+
+@query("history_work", f"WITH {_HISTORY} SELECT source_ref, content_hash, CASE WHEN session_id % 3 <> 0 THEN 'added' WHEN session_id % 2 = 0 THEN 'unchanged' ELSE 'changed' END AS action FROM h")
+def _(spark, d):
+    said = messages(table(spark, d, "conversations"))
+    found = H.turn_sources(said.select("session_id", F.lit("").alias("title")).distinct(), said)
+    # Every third session is stored already, every other one of these as it was before a change.
+    stored = found.filter("session_id % 3 = 0").select("source_type", "source_ref", F.when(F.col("session_id") % 2 == 0, F.col("content_hash")).otherwise("old").alias("content_hash"))
+    return H.with_action(found, stored).select("source_ref", "content_hash", "action")
+
+
+@query("history_skips", f"WITH {_TURNS} SELECT coalesce(skip_reason, 'accepted') AS outcome, count(*) AS n FROM s GROUP BY 1")
+def _(spark, d):
+    return C.turns(messages(table(spark, d, "conversations"))).groupBy(F.coalesce("skip_reason", F.lit("accepted")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_KIND = "['markdown', 'python', 'sql', 'text', 'yaml', 'html', '', 'other'][doc_id % 8 + 1]"
+
+
+@query("artifact_exports", rf"""WITH t AS (SELECT doc_id, regexp_replace(trim(substring(coalesce(text, ''), 1, 24)), '[\/:*?"<>|]+', '_', 'g') AS name, {_KIND} AS kind FROM documents)
+SELECT doc_id, CASE WHEN name = '' THEN 'artifact' ELSE name END || '.' || CASE kind WHEN 'markdown' THEN 'md' WHEN 'python' THEN 'py' WHEN 'sql' THEN 'sql' WHEN 'yaml' THEN 'yaml' WHEN 'html' THEN 'html' ELSE 'txt' END AS file_name FROM t""")
+def _(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ("markdown", "python", "sql", "text", "yaml", "html", "", "other"))), (F.col("doc_id") % 8 + 1).cast("int"))
+    return docs(spark, d).select("doc_id", O.export_name(F.substring(F.coalesce("text", F.lit("")), 1, 24), kind).alias("file_name"))

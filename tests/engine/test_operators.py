@@ -280,6 +280,7 @@ def test_note_metadata_and_other_sources(spark):
     pairs = conversation.turn_pairs(spark.createDataFrame(rows, "session_id long, seq int, role string, content string, tool_name string"))
     turn = ingest.turn_chunks(pairs, F.lit("Thread")).first()
     assert "secret" in turn["terms"] and "thread" in turn["terms"] and "cot" not in turn.asDict()
+    assert turn["heading_path"] == "Thread › turn 1"
     assert "hidden name" not in {e["value"] for e in turn["entities"]} and "corin mill" in {e["value"] for e in turn["entities"]}
 
 
@@ -323,6 +324,48 @@ def test_folder_is_ingested_and_brought_up_to_date(spark, tmp_path):
     assert of(three)["sub/b.md"] == of(one)["sub/b.md"]
 
 
+def test_history_is_ingested_once(spark):
+    from marlstone.operators import history
+
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    base = small_store(spark)
+    said = [("1", 1, "user", "hi Corin Mill", None), ("1", 2, "cot", " ".join(f"secret{i}" for i in range(80)), None), ("1", 3, "assistant", "# Plan\n\nyes, Corin Mill", None), ("1", 4, "user", "and then?", None), ("1", 5, "assistant", "", None), ("2", 1, "user", "other", None), ("2", 2, "assistant", "reply", None), ("9", 1, "user", "lost", None), ("9", 2, "assistant", "session unknown", None)]
+    known = {"sources": base["sources"].limit(0), "chunks": base["chunks"].withColumn("embedding", F.col("embedding").cast("array<float>")).limit(0), "terms": empty("chunk_id string, term string, tf long"), "entities": empty("chunk_id string, kind string, value string, count long, extractor string"), "links": empty("from_ref string, to_ref string, heading string, raw string, embed boolean, kind string"), "edges": empty("src string, dst string, kind string, weight double")}
+    known["messages"] = spark.createDataFrame(said, "session_id string, seq int, role string, content string, tool_name string")
+    known["sessions"] = spark.createDataFrame([("1", "Mills"), ("2", None)], "session_id string, title string")
+    kept = [("a1", "1", "Sketch", "markdown", "# Wheel\n\nCorin Mill turns"), ("a2", "2", "", "text", "  "), ("a3", "2", None, None, "plain words")]
+    known["artifacts"] = spark.createDataFrame(kept, "artifact_id string, session_id string, title string, content_type string, content string")
+    counts = lambda report: {(r["source_type"], r["action"]): r["n"] for r in report.collect()}
+    one, report = history.ingest_history(known)
+    assert counts(report) == {("conversation", "added"): 2, ("conversation", "no reply"): 1, ("artifact", "added"): 2}
+    assert {(r["source_ref"], r["title"], r["session_id"]) for r in one["sources"].collect()} == {("1#1-3", "Mills", "1"), ("2#1-2", "", "2"), ("a1", "Sketch", "1"), ("a3", "Untitled artifact", "2")}
+    paths = {r["heading_path"] for r in one["chunks"].collect()}
+    assert {"Sketch (markdown) › Wheel", "Untitled artifact", "Conversation › turn 1"} <= paths and any(p.startswith("Mills › turn 1") for p in paths)
+    assert one["chunks"].filter("embedding is null").count() == 0 and {r["value"] for r in one["entities"].collect()} >= {"corin mill"}
+    words = {r["term"] for r in one["terms"].collect()}
+    assert {"secret0", "secret63", "turns"} <= words and "secret64" not in words and "lost" not in words
+    assert one["edges"].filter("kind = 'entity'").count() > 0
+    two, report = history.ingest_history(known | one)
+    assert counts(report) == {("conversation", "unchanged"): 2, ("conversation", "no reply"): 1, ("artifact", "unchanged"): 2}
+    for name in ("sources", "chunks", "terms", "entities", "edges"):
+        assert two[name].count() == one[name].count()
+    changed = two | {"artifacts": known["artifacts"].withColumn("content", F.when(F.col("artifact_id") == "a3", "new words").otherwise(F.col("content")))}
+    three, report = history.ingest_history(changed)
+    assert counts(report)["artifact", "changed"] == 1 and "plain" not in {r["term"] for r in three["terms"].collect()} and three["chunks"].count() == one["chunks"].count()
+
+
+def test_queries_scored_together_equal_queries_alone(spark):
+    from marlstone.operators import retrieval
+
+    docs = spark.createDataFrame([(i, f"word{i % 5} common tea{i}" * (1 + i % 3)) for i in range(30)] + [(30, None), (31, "")], "doc_id long, text string")
+    asked = [(1, "common tea7 word3"), (2, ""), (3, None), (4, "word1 word2 word2"), (5, "unheard")]
+    got = retrieval.bm25_many(docs, spark.createDataFrame(asked, "query_id long, text string"), 4).orderBy("query_id", "rank").collect()
+    for i, text in asked:
+        alone = retrieval.bm25(docs, spark.createDataFrame([(text or "",)], "text string"), 4).collect()
+        assert [(r["doc_id"], r["score"]) for r in got if r["query_id"] == i] == [(r["doc_id"], round(r["score"], 6)) for r in alone]
+    assert {r["query_id"] for r in got} == {1, 4}
+
+
 def test_index_answers_as_the_texts_do_and_is_kept_up(spark, tmp_path):
     from marlstone.operators import index, retrieval
 
