@@ -81,7 +81,8 @@ def bm25_many(documents: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
     """
     text = F.coalesce("text", F.lit(""))
     wanted = cut(queries.select("query_id", F.explode(F.array_distinct(terms(text))).alias("term")), "wanted")
-    rows = documents.select("doc_id", F.greatest(token_count(text), F.lit(1)).alias("dl"), F.explode(terms(text)).alias("term"))
+    # Lengths stand below the explosion, else they are worked out for every word.
+    rows = documents.select("doc_id", F.greatest(token_count(text), F.lit(1)).alias("dl"), terms(text).alias("terms")).select("doc_id", "dl", F.explode("terms").alias("term"))
     tf = cut(rows.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     by_rarity = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))
     probes = wanted.join(term_df(tf), "term").withColumn("r", by_rarity).filter(F.col("r") <= PROBES).drop("r")
