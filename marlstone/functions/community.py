@@ -137,6 +137,22 @@ def quality(edges: dict[tuple[int, int], float], part: list[int], gamma: float =
     return inside - gamma * sum(k * (k - 1) / 2 for k in Counter(part).values())
 
 
+def connected(edges: dict[tuple[int, int], float], part: list[int]) -> bool:
+    """Whether every community hangs together by edges between its own members."""
+    root = list(range(len(part)))
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for a, b in edges:
+        if part[a] == part[b]:
+            root[find(a)] = find(b)
+    return len({find(v) for v in range(len(part))}) == len(set(part))
+
+
 def semantic(embed: Callable[[list[str]], np.ndarray]) -> Callable[[list[str]], np.ndarray]:
     """Similarity of sentences by the cosine of their vectors; opposite ones count as 0."""
 

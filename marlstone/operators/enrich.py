@@ -36,6 +36,27 @@ def extract(sources: DataFrame, extractor: Callable[[str], list[tuple[str, str]]
     return sources.select("source_id", "text").mapInArrow(run, "source_id long, pos int, kind string, value string")
 
 
+#: The reply that a model is asked for: kinds are checked by ``guard``, quotes by the guard of links.
+REPLY = "entities array<struct<kind: string, value: string>>, links array<struct<target: string, evidence: string>>"
+
+
+def typed(replies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities (source_id, pos, kind, value), links (source_id, pos, target, quote) and failed sources (source_id) of replies (source_id, reply) in JSON.
+
+    A reply that is null or no JSON object fails as a whole; one without a list has an
+    empty one; fields that aren't named are left out. A missing field of an item is
+    null, which the guards reject as empty.
+    """
+    rows = replies.select("source_id", F.from_json("reply", f"{REPLY}, broken string", {"columnNameOfCorruptRecord": "broken"}).alias("r"), "reply")
+    failed = F.col("r").isNull() | F.col("r.broken").isNotNull() | ~F.coalesce(F.trim("reply").startswith("{"), F.lit(False))
+    rows = rows.select("source_id", failed.alias("failed"), "r.entities", "r.links")
+    good = rows.filter("not failed")
+    items = lambda c: good.select("source_id", F.posexplode(c).alias("pos", "x"))
+    entities = items("entities").select("source_id", "pos", "x.kind", "x.value")
+    links = items("links").select("source_id", "pos", "x.target", F.col("x.evidence").alias("quote"))
+    return entities, links, rows.filter("failed").select("source_id")
+
+
 def reject_reason(text: Column, kind: Column, value: Column) -> Column:
     """Why an extracted entity can't be trusted; null if it can."""
     v = F.trim(value)

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions.text import token_count
 from ..operators import build as B
 from ..operators import conversation as C
+from ..operators import enrich as Z
 from ..operators import entities as E
 from ..operators import history as H
 from ..operators import retrieval as R
@@ -289,3 +290,31 @@ SELECT doc_id, CASE WHEN name = '' THEN 'artifact' ELSE name END || '.' || CASE
 def _(spark, d):
     kind = F.element_at(F.array(*map(F.lit, ("markdown", "python", "sql", "text", "yaml", "html", "", "other"))), (F.col("doc_id") % 8 + 1).cast("int"))
     return docs(spark, d).select("doc_id", O.export_name(F.substring(F.coalesce("text", F.lit("")), 1, 24), kind).alias("file_name"))
+
+
+# ---- replies of an extractor ----
+
+
+def _replies(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth document's reply is broken off, every seventh's lacks the links, every eleventh has none."""
+    whole = F.struct(F.array(F.struct(F.lit("org").alias("kind"), F.col("source").alias("value")), F.struct(F.lit("proper").alias("kind"), F.col("lang").alias("value"))).alias("entities"), F.when(F.col("doc_id") % 7 != 0, F.array(F.struct(F.col("source").alias("target"), F.substring("text", 1, 20).alias("evidence")))).alias("links"))
+    reply = F.to_json(whole)
+    return docs(spark, d).select(F.col("doc_id").alias("source_id"), F.when(F.col("doc_id") % 11 == 0, F.lit(None)).when(F.col("doc_id") % 5 == 0, F.expr("substring(to_json(struct(source)), 1, 8)")).otherwise(reply).alias("reply"))
+
+
+_ANSWERED = "a AS (SELECT * FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 5 <> 0)"
+
+
+@query("typed_entities", f"WITH {_ANSWERED} SELECT doc_id AS source_id, 0 AS pos, 'org' AS kind, source AS value FROM a UNION ALL SELECT doc_id, 1, 'proper', lang FROM a")
+def _(spark, d):
+    return Z.typed(_replies(spark, d))[0]
+
+
+@query("typed_links", f"WITH {_ANSWERED} SELECT doc_id AS source_id, 0 AS pos, source AS target, substring(text, 1, 20) AS quote FROM a WHERE doc_id % 7 <> 0")
+def _(spark, d):
+    return Z.typed(_replies(spark, d))[1]
+
+
+@query("failed_replies", "SELECT doc_id AS source_id FROM documents WHERE doc_id % 11 = 0 OR doc_id % 5 = 0")
+def _(spark, d):
+    return Z.typed(_replies(spark, d))[2]

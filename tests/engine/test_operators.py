@@ -178,6 +178,27 @@ def test_enrichment(spark):
     assert {r["outcome"]: r["n"] for r in enrich.rates(guarded).collect()}["accepted"] == 2
 
 
+def test_replies_are_typed(spark):
+    from marlstone.operators import enrich
+
+    replies = [(1, '{"entities": [{"kind": "org", "value": "Mill"}, {"value": "x", "more": 1}], "links": [{"target": "b", "evidence": "see b"}]}'), (2, "no json"), (3, None), (4, "{}"), (5, '[{"kind": "org"}]'), (6, '{"entities": "many"}'), (7, ' {"entities": [], "odd": [1]}'), (8, "")]
+    entities, links, failed = (df.collect() for df in enrich.typed(spark.createDataFrame(replies, "source_id long, reply string")))
+    assert sorted((r["source_id"], r["pos"], r["kind"], r["value"]) for r in entities) == [(1, 0, "org", "Mill"), (1, 1, None, "x")]
+    assert [tuple(r) for r in links] == [(1, 0, "b", "see b")] and sorted(r["source_id"] for r in failed) == [2, 3, 5, 6, 8]
+
+
+def test_communities_hang_together():
+    import random
+
+    from marlstone.functions import community
+
+    assert community.connected({(0, 1): 1.0}, [0, 0, 1]) and not community.connected({(0, 1): 1.0}, [0, 0, 0]) and not community.connected({(0, 2): 1.0, (1, 2): 1.0}, [0, 0, 1])
+    for seed in range(20):
+        rng = random.Random(seed)
+        edges = {(a, b): rng.random() for a in range(30) for b in range(a + 1, 30) if rng.random() < 0.12}
+        assert community.connected(edges, community.leiden(30, edges, seed=seed))
+
+
 def test_sessions(spark):
     from marlstone.operators import sessions
 
@@ -403,6 +424,13 @@ def test_search_filters_and_report(spark):
     assert tuple(found.report.first()) == (4, 4, 1, 5, "no model")
     told = {r["doc_id"]: r for r in found.explained.collect()}
     assert (told[5]["hops"], told[5]["via"], told[5]["bm25"]) == (1, "link", 0.0) and told[1]["hops"] is None and told[1]["bm25"] > 0
+    text = search.rendered(found, docs).first()["text"]
+    assert text.startswith("4 result(s)") or text.startswith("5 result(s)")
+    assert "Searched without vectors: no model" in text and "[1] " in text and "found over a written link, 1 step(s)" in text and "\nunlike" in text.replace("\n\n", "\n")
+    none = search.rendered(search.explain(docs, None, spark.createDataFrame([("omega",)], "text string"), None), docs).first()["text"]
+    assert none == "Nothing shares a word with the query.\nSearched without vectors: no vectors given"
+    barred = search.rendered(search.explain(docs, None, asked, None, options=search.Options(since="2099", source_types=["zz"])), docs).first()["text"]
+    assert barred.startswith("4 candidates, none of which passed")
     # What a filter rejects the walk doesn't bring back.
     assert 5 not in {r["doc_id"] for r in search.search(docs, None, asked, None, edges, search.Options(since="2024-01-02")).collect()}
 
