@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections.abc import Callable
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -201,21 +202,56 @@ def data_table(page: str, base: str) -> dict[str, str] | None:
     return None
 
 
+def _table(page: str, selector: str) -> list | None:
+    """The first table whose id or class a selector names."""
+    name = selector.lstrip("#.")
+    return next((n for n in walk(tree(page)) if n[0] == "table" and name and (n[1].get("id") == name or name in n[1].get("class", "").split())), None)
+
+
 def table_is_filled(page: str, selector: str) -> bool:
     """Whether the table has rows in its body already."""
-    name = selector.lstrip("#.")
-    for n in walk(tree(page)):
-        if n[0] == "table" and name and (n[1].get("id") == name or name in n[1].get("class", "").split()):
-            return any(r[0] == "tr" for b in walk(n) if b[0] == "tbody" for r in walk(b))
-    return False
+    found = _table(page, selector)
+    return found is not None and any(r[0] == "tr" for b in walk(found) if b[0] == "tbody" for r in walk(b))
+
+
+def table_header(page: str, selector: str) -> list[str]:
+    """Texts of the header cells in the table's heads; empty ones are left out."""
+    found = _table(page, selector)
+    cells = [] if found is None else [c for h in walk(found) if h[0] == "thead" for c in walk(h) if c[0] == "th"]
+    return [x for x in (inner_text(c).strip() for c in cells) if x]
+
+
+def table_names(response: str) -> list[str]:
+    """Names of the columns of a table response: the keys of its first row, if that is an object."""
+    first = next(iter(_records(json.loads(response))), None)
+    return list(first) if isinstance(first, dict) else []
+
+
+def _records(value: object) -> list:
+    if isinstance(value, dict):
+        value = next((value[k] for k in ("data", "aaData", "rows") if isinstance(value.get(k), list)), [])
+    return value if isinstance(value, list) else []
 
 
 def table_rows(response: str, most: int = 200) -> list[list[str]]:
-    """Rows of a table response: lists, or objects in the order of their keys; tags are dropped."""
-    value = json.loads(response)
-    rows = value if isinstance(value, list) else next((value[k] for k in ("data", "aaData", "rows") if isinstance(value.get(k), list)), [])
+    """Rows of a table response: lists, or objects in the order of the first one's keys; tags are dropped."""
+    rows, names = _records(json.loads(response)), table_names(response)
     cell = lambda x: html.unescape(re.sub(r"<[^>]*>", "", "" if x is None else str(x))).strip()
-    return [[cell(x) for x in (r.values() if isinstance(r, dict) else r if isinstance(r, list) else [r])] for r in rows[:most]]
+    return [[cell(x) for x in ([r.get(n) for n in names or r] if isinstance(r, dict) else r if isinstance(r, list) else [r])] for r in rows[:most]]
+
+
+def fetched_table(page: str, base: str, fetch: Callable[[str], str | None]) -> str:
+    """The table that a script would fill, as Markdown; empty if there is none, it is filled, or ``fetch`` of its address gives no JSON rows."""
+    asked = data_table(page, base)
+    if asked is None or table_is_filled(page, asked["selector"]):
+        return ""
+    response = fetch(asked["url"])
+    try:
+        rows, names = table_rows(response or ""), table_names(response or "")
+    except ValueError:
+        return ""
+    head = table_header(page, asked["selector"]) or names
+    return table_markdown([head, *rows] if head else rows) if rows else ""
 
 
 def table_markdown(rows: list[list[str]]) -> str:

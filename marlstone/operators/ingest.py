@@ -151,6 +151,22 @@ def word_gate(pages: DataFrame) -> DataFrame:
     return page_articles(pages).select("page_id", n.alias("n_words"), (n < THIN).alias("thin"))
 
 
+def page_tables(pages: DataFrame, fetch: Callable[[str], str | None]) -> DataFrame:
+    """(page_id, data_table) of pages (page_id, url, html) with a table that a script fills; ``fetch`` gives the response of an address, or None.
+
+    The address leads the text through the pass, so that a page's own links resolve;
+    pages without such a table have no row.
+    """
+    joined = pages.select("page_id", F.concat(F.coalesce("url", F.lit("")), F.lit("\0"), F.coalesce("html", F.lit(""))).alias("both"))
+
+    def look(both: str) -> list[tuple]:
+        url, page = both.split("\0", 1)
+        found = web.fetched_table(page, url, fetch)
+        return [(found,)] if found else []
+
+    return each(joined, "page_id", "both", "data_table string", look)
+
+
 def page_scripts(pages: DataFrame) -> DataFrame:
     return each(pages, "page_id", "html", "kind string, script string", lambda t: [(k, s) for k, v in web.scripts(t).items() for s in v])
 

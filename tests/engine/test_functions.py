@@ -166,6 +166,14 @@ def test_web():
     assert art.startswith("# Title") and "**bold** & [link](/x)" in art and "buy" not in art and "menu" not in art
     assert web.state_text(page) == f"{long_text}\n\nA description of more than thirty bytes.\n\n{long_text}?"
     assert web.data_table(page, "http://h/p") == {"selector": "#t", "url": "http://h/api/rows"} and not web.table_is_filled(page, "#t")
+    assert web.table_header(page, "#t") == ["a"] and web.table_header(page, "#none") == [] and web.table_header("<table id=t><thead><tr><th> </th><th>x<b>y</b></th></tr></thead><tbody><tr><th>no</th></tr></tbody></table>", "t") == ["xy"]
+    asked = []
+    reply = lambda text: lambda url: asked.append(url) or text
+    assert web.fetched_table(page, "http://h/p", reply('{"data": [{"p": 1, "q": 2}, {"q": 4, "p": 3}]}')) == "| a |  |\n| --- | --- |\n| 1 | 2 |\n| 3 | 4 |" and asked == ["http://h/api/rows"]
+    bare = page.replace("<th>a</th>", "")
+    assert web.fetched_table(bare, "http://h/p", reply('{"aaData": [{"p": 1}]}')) == "| p |\n| --- |\n| 1 |"
+    assert [web.fetched_table(page, "http://h/p", reply(x)) for x in (None, "", "oops", "[]", "3", '{"data": 1}')] == [""] * 6
+    assert web.fetched_table(page.replace("<tbody>", "<tbody><tr><td>1</td></tr>"), "http://h/p", reply('{"data": [[1]]}')) == "" and web.fetched_table("", "", reply("[[1]]")) == ""
     assert web.table_rows('{"data": [{"a": "<b>1</b>", "b": null}, ["x|y"]]}') == [["1", ""], ["x|y"]]
     assert web.table_markdown([["a", "b"], ["x|y"]]) == "| a | b |\n| --- | --- |\n| x\\|y |  |"
     assert [s for v in web.scripts("<p>no</p>").values() for s in v] == [] and web.article("") == ""

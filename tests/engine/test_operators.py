@@ -77,6 +77,15 @@ def test_words_are_those_of_the_article(spark):
     assert out == {i: (n := len(web.article(h or "").split()), n < 150) for i, h in pages} and out[2] == (160, False) and out[1][1] and out[1][0] > 10
 
 
+def test_tables_of_pages_are_fetched(spark):
+    from marlstone.operators import ingest
+
+    page = "<script>DataTable('#t', {ajax: 'rows?a=1'})</script><table id=t><thead><tr><th>n</th></tr></thead></table>"
+    pages = spark.createDataFrame([(1, "http://h/x/", page), (2, "http://h/x/", "<p>none</p>"), (3, None, page), (4, "http://h/", None)], "page_id long, url string, html string")
+    got = [tuple(r) for r in ingest.page_tables(pages, lambda url: f'[["{url}"]]').collect()]
+    assert got == [(1, "| n |\n| --- |\n| http://h/x/rows?a=1 |")]
+
+
 def test_near_pairs_match_brute_force(spark):
     base = "the quick brown fox jumps over the lazy dog near the old stone bridge while seven grey herons watch"
     rows = [(1, base), (2, base.replace("seven", "eight")), (3, "nothing alike at all in here"), (4, base), (5, ""), (6, None)]
