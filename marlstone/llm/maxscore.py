@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import bound_batches, cut
 from .vectors import PACKED, packed, unpack, usable
 
 SCALE, K = 256, 5
@@ -111,13 +111,15 @@ def top_k(rows: DataFrame, every: int = 50, k: int = K, id_col: str = "vec_id",
     Scores beyond 64 bits become the largest or smallest of them.  Without
     queries or candidates the result is empty.
     """
+    bound_batches(rows.sparkSession)
     good = usable(rows, id_col, vector_col)
     shards = cut(good.mapInArrow(packed(SHARD_ROWS), PACKED).withColumn("no", F.monotonically_increasing_id()), "shards")
     blocks = cut(good.filter(F.pmod("id", F.lit(every)) == 0).mapInArrow(packed(QUERY_ROWS), PACKED).withColumn("block", F.monotonically_increasing_id()), "queries")
     lanes = max(1, min(256, shards.count()))
     left = blocks.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "n", "d")], "block", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
     right = shards.withColumn("lane", F.pmod(F.xxhash64("no"), F.lit(lanes)).cast("int"))
-    met = left.join(right, "lane").select("q_ids", "q_vectors", "q_n", "q_d", "ids", "vectors", "n", "d", "block")
+    # Merged, never broadcast: the optimiser sees the size of the blocks' files, not that of their copies for all lanes.
+    met = left.join(right.hint("merge"), "lane").select("q_ids", "q_vectors", "q_n", "q_d", "ids", "vectors", "n", "d", "block")
     found = met.mapInArrow(_searched(k), "query_id long, query_no long, vec_id long, score long")
     best = Window.partitionBy("query_id", "query_no").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

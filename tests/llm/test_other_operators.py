@@ -45,6 +45,14 @@ def test_top_k_matches_brute_force(spark, odd):
     assert maxscore.top_k(vectors(spark, odd[:1])).count() == 0
 
 
+def test_top_k_broadcasts_no_queries(spark, odd):
+    """The driver would hold their copies for all lanes, whatever limit on broadcasts is set."""
+    out = maxscore.top_k(vectors(spark, odd), every=5)
+    assert out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_max_score_prunes_without_loss():
     rng = np.random.default_rng(1)
     rows = np.round(rng.standard_normal((5000, 16)) * 30)
