@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import conversation, dedup, graph, maintain, search
+from marlstone.operators import conversation, dedup, graph, maintain, search, tiles
 from marlstone.plans import catalog, catalog_store
 from marlstone.plans.lineage import cut, release
 from marlstone.sources import files
@@ -509,3 +509,32 @@ def test_near_pairs_of_a_table_match_brute_force(spark, duck):
                     want[i, j] = round(d, 6)
     got = {(r["a"], r["b"]): r["dice"] for r in catalog.QUERIES["dice_pairs"](spark, SF).collect()}
     assert got == want and len(want) > 5
+
+
+def _alike(n: int) -> list[tuple[int, str]]:
+    """Long texts of few words: most share nearly all trigrams, and each has a word of its own."""
+    words = [f"{a}{b}{c}" for a in ("ba", "ke", "lo", "mi") for b in ("nd", "rt", "ss") for c in ("er", "al", "on", "um")]
+    return [(i, " ".join(words[(i * k + k * k // 3) % len(words)] for k in range(1, 160)) + f" own{i:05d}") for i in range(n)]
+
+
+def test_near_pairs_that_are_many_equal_brute_force_and_meet_in_tiles(spark, monkeypatch):
+    """Nothing is paired up in a shuffle: rows that tasks exchange grow with the texts, not with the pairs."""
+    rows = _alike(120) + [(1000 + i, f"short text {i}") for i in range(40)]
+    grams = {i: {t[k : k + 3] for k in range(len(t) - 2)} for i, t in rows}
+    count = {i: pd.Series([w for w in t.split() if len(w) >= 4]).value_counts() for i, t in rows}
+    probes = {i: {w for _, w in sorted((n, w) for w, n in c.items())[:6]} for i, c in count.items()}
+    want = {}
+    for i, _ in rows:
+        for j, _ in rows:
+            if i < j and (probes[i] & set(count[j].index) or probes[j] & set(count[i].index)):
+                d = 2 * len(grams[i] & grams[j]) / (len(grams[i]) + len(grams[j]))
+                if d >= 0.85:
+                    want[i, j] = d
+    monkeypatch.setattr(dedup, "TILE_BYTES", 100_000)
+    monkeypatch.setattr(dedup, "LANES", 160)
+    monkeypatch.setattr(dedup, "ROWS", 7)
+    met = []
+    monkeypatch.setattr(dedup, "meet", lambda left, right, lanes, order: met.append(lanes) or tiles.meet(left, right, lanes, order))
+    got = {(r["a"], r["b"]): r["dice"] for r in dedup.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(want) > 200
+    assert sum(map(len, met)) > 3
