@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .entities import entity_edges
 from .graph import link_edges
 from .maintain import touching
@@ -40,7 +41,7 @@ def similar(chunks: DataFrame, changed: DataFrame | None = None, k: int = TOP, l
     With ``changed`` (chunk_id) only pairs that touch these: their neighbours are
     asked for theirs, as an edge needs both.  Numbers stand in for ids inside.
     """
-    numbered = chunks.filter("embedding is not null").select("chunk_id", F.xxhash64("chunk_id").alias("vec_id"), F.xxhash64("source_id").alias("label"), "embedding")
+    numbered = cut(chunks.filter("embedding is not null").select("chunk_id", F.xxhash64("chunk_id").alias("vec_id"), F.xxhash64("source_id").alias("label"), "embedding"), "numbered")
     if changed is None:
         found = similar_topk(numbered, k, least)
     else:

@@ -538,3 +538,65 @@ def test_near_pairs_that_are_many_equal_brute_force_and_meet_in_tiles(spark, mon
     got = {(r["a"], r["b"]): r["dice"] for r in dedup.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and len(want) > 200
     assert sum(map(len, met)) > 3
+
+
+def _nearest_by_force(rows, k, least):
+    """(src, dst, similarity) as the SQL has it, in plain Python over (id, label, vector)."""
+    want = set()
+    for i, a, x in rows:
+        sims = []
+        for j, b, y in rows:
+            if a != b:
+                d, size = min(len(x), len(y)), (sum(v * v for v in x) * sum(v * v for v in y)) ** 0.5
+                sims.append((-round(sum(p * q for p, q in zip(x[:d], y[:d], strict=True)) / size if size else 0.0, 6), j))
+        want |= {(i, j, -s) for s, j in sorted(sims)[:k] if -s >= least}
+    return want
+
+
+@pytest.mark.parametrize("least", [0.25, -2.0])
+def test_nearest_vectors_over_many_tiles_equal_brute_force_and_leave_tasks_reduced(spark, monkeypatch, least):
+    """Copies, zeros, ties and other lengths; a lane gives no more than ``k`` rows for each vector."""
+    import random
+
+    from marlstone.operators import retrieval
+
+    rng = random.Random(5)
+    base = [[float(rng.randint(-3, 3)) for _ in range(6)] for _ in range(40)]
+    rows = [(7 * i + 1, rng.randint(0, 3), base[i % 40] if i % 3 else [rng.random() - 0.3 for _ in range(6)]) for i in range(150)]
+    rows += [(5000, 1, [0.0] * 6), (5001, 2, base[1][:4]), (5002, 2, base[2] + [1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    extra = spark.createDataFrame([(9000, 1, None), (9001, None, base[0])], table.schema)
+    lanes = []
+    monkeypatch.setattr(retrieval, "BLOCK", 16)
+    monkeypatch.setattr(retrieval, "meet", lambda left, right, pairs, order: lanes.append((pairs, left, right)) or tiles.meet(left, right, pairs, order))
+    got = retrieval.similar_topk(table.unionByName(extra), 8, least)
+    want = _nearest_by_force(rows, 8, least)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 200
+    (pairs, left, right), = lanes
+    parts = 1 + max(p for _, p in pairs)
+    assert len(pairs) > 16 and parts > 2
+    met = tiles.meet(left, right, pairs, ["vec_id"]).mapInArrow(retrieval._nearest(8, least), "src long, dst long, similarity double")
+    assert met.count() <= 8 * len(rows) * parts
+    asked = table.filter("vec_id % 5 = 0")
+    ids = {r["vec_id"] for r in asked.collect()}
+    assert {tuple(r) for r in retrieval.similar_topk(table, 8, least, asked).collect()} == {w for w in want if w[0] in ids}
+
+
+def test_similar_chunks_read_the_chunks_once(spark):
+    from marlstone.operators import build
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(f"c{i}", f"s{i % 4}", [1.0, float(i % 5), float(i % 3)]) for i in range(30)]
+    schema = "chunk_id string, source_id string, embedding array<double>"
+    chunks = spark.createDataFrame(rows, schema).mapInArrow(pass_on, schema)
+    changed = spark.createDataFrame([("c3",), ("c8",)], "chunk_id string")
+    whole = {tuple(r) for r in build.similar(chunks, least=0.3).collect()}
+    assert seen.value == 30
+    scoped = {tuple(r) for r in build.similar(chunks, changed, least=0.3).collect()}
+    assert seen.value == 60 and scoped == {r for r in whole if {"c3", "c8"} & {r[0], r[1]}}
