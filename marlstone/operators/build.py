@@ -108,10 +108,12 @@ def guard_links(proposed: DataFrame, sources: DataFrame, resolved: DataFrame) ->
     source itself, a target named before, more than twelve.
     """
     rows = proposed.withColumn("target", F.trim(F.coalesce("target", F.lit("")))).withColumn("evidence", F.trim(F.coalesce("evidence", F.lit(""))))
-    rows = rows.join(sources.select("source_id", "source_ref", F.lower(F.coalesce("text", F.lit(""))).alias("low")), "source_id").join(resolved.select("target", "to_ref").distinct(), "target", "left")
     quoted = (F.col("evidence") != "") & F.contains("low", F.lower("evidence"))
-    reason = F.when(F.col("target") == "", "no target").when(~quoted, "no evidence").when(F.col("to_ref").isNull(), "unresolved").when(F.col("to_ref") == F.col("source_ref"), "itself")
-    rows = rows.withColumn("reject_reason", reason).drop("low", "source_ref")
+    # Texts end here: further on every proposal would carry its own copy through the shuffles.
+    rows = rows.join(sources.select("source_id", "source_ref", F.lower(F.coalesce("text", F.lit(""))).alias("low")), "source_id").withColumn("quoted", quoted).drop("low")
+    rows = rows.join(resolved.select("target", "to_ref").distinct(), "target", "left")
+    reason = F.when(F.col("target") == "", "no target").when(~F.col("quoted"), "no evidence").when(F.col("to_ref").isNull(), "unresolved").when(F.col("to_ref") == F.col("source_ref"), "itself")
+    rows = rows.withColumn("reject_reason", reason).drop("quoted", "source_ref")
     good = F.col("reject_reason").isNull()
     again = F.row_number().over(Window.partitionBy("source_id", "reject_reason", "to_ref").orderBy("pos"))
     rows = rows.withColumn("reject_reason", F.when(good & (again > 1), "repeated").otherwise(F.col("reject_reason")))

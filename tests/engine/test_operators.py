@@ -600,3 +600,22 @@ def test_similar_chunks_read_the_chunks_once(spark):
     assert seen.value == 30
     scoped = {tuple(r) for r in build.similar(chunks, changed, least=0.3).collect()}
     assert seen.value == 60 and scoped == {r for r in whole if {"c3", "c8"} & {r[0], r[1]}}
+
+
+def test_guarded_links_carry_no_text_beyond_the_first_join(spark):
+    from marlstone.operators import build
+
+    sources = spark.createDataFrame([("s1", "a.md", "some Words here"), ("s2", "b.md", None)], "source_id string, source_ref string, text string")
+    proposed = spark.createDataFrame([("s1", 0, "B", "words"), ("s1", 1, "B", "here"), ("s1", 2, "A", "some"), ("s2", 0, "A", "words")], "source_id string, pos int, target string, evidence string")
+    out = build.guard_links(proposed, sources, spark.createDataFrame([("A", "a.md"), ("B", "b.md")], "target string, to_ref string"))
+    assert {(r["source_id"], r["pos"], r["reject_reason"]) for r in out.collect()} == {("s1", 0, None), ("s1", 1, "repeated"), ("s1", 2, "itself"), ("s2", 0, "no evidence")}
+
+    def joins(node):
+        if node.nodeName() == "Join":
+            for i in range(2):
+                columns = node.children().apply(i).output()
+                yield any(columns.apply(c).name() in ("low", "text") for c in range(columns.size()))
+        for i in range(node.children().size()):
+            yield from joins(node.children().apply(i))
+
+    assert list(joins(out._jdf.queryExecution().optimizedPlan())).count(True) == 1
