@@ -15,6 +15,7 @@ from ..operators import history as H
 from ..operators import retrieval as R
 from ..operators import sessions as O
 from ..operators import store as T
+from ..plans.lineage import cut
 from ..sources.tables import line_chunks, messages, spread, table
 from .catalog import _CHUNKS, _COS, _TURNS, _entities, _terms, _tokens, LINKS_SQL, docs, note_links, query
 
@@ -157,7 +158,7 @@ def _(spark, d):
 
 @query("entity_dictionary", f"WITH {_entities('documents', 'doc_id')}, k AS (SELECT DISTINCT kind, value FROM ents WHERE doc_id % 2 = 0) SELECT kind, value, 'old' AS entity_id FROM k UNION ALL SELECT kind, value, sha256(kind || chr(0) || value) FROM (SELECT DISTINCT kind, value FROM ents) WHERE (kind, value) NOT IN (SELECT (kind, value) FROM k)")
 def _(spark, d):
-    links = E.entity_counts(spread(docs(spark, d)))
+    links = cut(E.entity_counts(spread(docs(spark, d))), "links")
     known = links.filter("doc_id % 2 = 0").select("kind", "value").distinct().withColumn("entity_id", F.lit("old"))
     return T.merge_dictionary(known, links)
 

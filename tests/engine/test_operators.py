@@ -619,3 +619,58 @@ def test_guarded_links_carry_no_text_beyond_the_first_join(spark):
             yield from joins(node.children().apply(i))
 
     assert list(joins(out._jdf.queryExecution().optimizedPlan())).count(True) == 1
+
+
+def test_entity_edges_find_the_entities_of_a_text_once(spark):
+    from marlstone.operators import entities
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    schema = "doc_id long, source string, kind string, value string"
+    links = spark.createDataFrame([(i, f"s{i % 3}", "proper", f"v{i // 2}") for i in range(12)], schema).mapInArrow(pass_on, schema)
+    assert len(entities.entity_edges(links, spark.range(12).selectExpr("count(*) as n"), source_col="source").collect()) == 12
+    assert seen.value == 12
+
+
+def test_text_patterns_cut_and_find_what_longer_ones_did(spark):
+    """The patterns as they were before searching was made cheaper, and one search for code in a text."""
+    from pyspark.sql import functions as F
+
+    from marlstone.functions import text as X
+
+    odd = ["a.b- x/y_ _z é.É Élan Ab. ÀB Hill Top 2024-01-02 x2024-01-02 Jan 3, 2024 aJan 3 2024 5ms 5 % $3 x$3.5 €7,0 a/b c.py .md d.mdx /e f", "", "-- . /", "`Code A` Out ~~~ In", "x.y.z-- w.go/ 1.5kb 12.em"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*odd, None])], "i int, t string")
+    before = {
+        "ISO_DATE": X.EDGE + r"([0-9]{4}-[0-9]{2}-[0-9]{2})" + X.EDGE,
+        "PROPER": X.EDGE + r"(\p{Lu}[\p{L}0-9]*(?:[ \t]+\p{Lu}[\p{L}0-9]*)*)" + X.EDGE,
+        "NUMBER": r"([$€£][\t\n\f\r ]?[0-9][0-9,]*(?:\.[0-9]+)?|" + X.EDGE + r"[0-9][0-9,]*(?:\.[0-9]+)?[\t\n\f\r ]?(?:%|ms|s|kb|mb|gb|tb|px|em|rem)" + X.EDGE + ")",
+    }
+    for name, pattern in before.items():
+        found = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(1))
+        assert rows.filter(~found(pattern).eqNullSafe(found(getattr(X, name)))).count() == 0, name
+        assert getattr(X, name).startswith("(?="), name
+    ends = F.filter(F.transform(F.regexp_extract_all("t", F.lit(X.WORD), F.lit(0)), lambda w: F.regexp_replace(w, r"^[._/-]+|[._/-]+$", "")), lambda w: w != "")
+    assert rows.filter(~ends.eqNullSafe(X.words(F.col("t")))).count() == 0
+    plan = rows.select(X.entity_array(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("~~~") < 6
+
+
+def test_hashed_vectors_look_each_feature_up_once(monkeypatch):
+    import numpy as np
+
+    from marlstone.functions import embedding
+
+    text = "tea and tea and cake " * 50
+    asked, whole = [], embedding.feature_hash
+    x, v = " ".join(text.split()), np.zeros(384)
+    for name, weight in [(f"w:{w}", 1.0) for w in x.split()] + [(f"t:{x[i : i + 3]}", 0.5) for i in range(len(x) - 2)]:
+        h = whole(name)
+        v[h % 384] += -weight if h >> 40 & 1 else weight
+    monkeypatch.setattr(embedding, "feature_hash", lambda f: asked.append(f) or whole(f))
+    assert embedding.embed(text) == (v / np.linalg.norm(v)).astype(np.float32).tolist()
+    assert len(asked) == len(set(asked)) < 40
